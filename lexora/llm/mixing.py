@@ -2,10 +2,10 @@
 
 Words of a source are laid end to end (documents in hash order) and packed into
 blocks of ``BLOCK`` words. Output shards have ``SLOTS`` slots; each shard draws
-its counts per source by one multinomial draw with a single random offset
+its counts per source by one multinomial draw of least variance
 (systematic sampling: slot i falls at (i + u) / SLOTS on the line of cumulative
-weights, so every count is within one of its mean and totals stay near their
-targets). Slots of a source are numbered through; number j maps to block
+weights, with an offset u for each shard, so every count is within one of its
+mean and totals stay near their targets). Slots of a source are numbered through; number j maps to block
 permutation(j mod blocks) in epoch j div blocks, where the permutation is a
 pseudorandom one for each source and epoch (swap-or-not rounds), computed from
 the index alone. Slots and documents meet by an equi-join on (source, block).
@@ -91,7 +91,8 @@ def plan_mix(sized: DataFrame, block: int = BLOCK, slots: int = SLOTS) -> tuple[
     line = line.withColumn("hi", F.sum("want").over(upto) / F.sum("want").over(all_)).withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("rank")), F.lit(0.0)))
     shards = line.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / slots))))
     k = F.least(F.lit(slots).cast("long"), F.col("total") - F.col("shard") * slots)
-    u = F.pmod(F.xxhash64(F.lit(SEED), F.col("shard")), F.lit(1 << 30)) / float(1 << 30)
+    # offsets advance by the golden ratio, so that rounding cancels over shards
+    u = F.pmod(F.pmod(F.xxhash64(F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30) + F.col("shard") * 0.6180339887498949, F.lit(1.0))
     upper = F.when(F.col("hi") >= 1 - 1e-12, k).otherwise(F.least(k, F.ceil(k * F.col("hi") - u)))
     shards = shards.withColumn("k", k).withColumn("from_slot", F.greatest(F.lit(0), F.ceil(k * F.col("lo") - u))).withColumn("to_slot", upper)
     shards = shards.withColumn("n", F.greatest(F.lit(0), F.col("to_slot") - F.col("from_slot")).cast("long"))
