@@ -101,13 +101,9 @@ class Tree:
     """Signature tree over sets: level 0 are the sets, ordered by size; each
     further level joins ``LEAF`` neighbours, until one node is left."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.rows = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-        n = np.array([len(sets[i]) for i in self.rows], np.int64)
-        bitmap = np.zeros((len(sets), BITS // 64), np.uint64)
-        for r, i in enumerate(self.rows):
-            slot = (sets[i] & np.uint64(BITS - 1)).astype(np.int64)
-            np.bitwise_or.at(bitmap[r], slot >> 6, np.uint64(1) << (slot & 63).astype(np.uint64))
+    def __init__(self, bitmaps: np.ndarray, sizes: np.ndarray):
+        self.rows = np.argsort(sizes, kind="stable").tolist()
+        bitmap, n = bitmaps[self.rows], sizes[self.rows].astype(np.int64)
         self.levels = [(bitmap, n, n, n - _count(bitmap))]
         while len(self.levels[-1][0]) > 1:
             b, lo, hi, ex = self.levels[-1]
@@ -119,6 +115,43 @@ class Tree:
         return i * LEAF, min((i + 1) * LEAF, len(self.levels[level - 1][0]))
 
 
+def bitmap_of(s: np.ndarray) -> np.ndarray:
+    flags = np.zeros(BITS, np.uint8)
+    flags[(s & np.uint64(BITS - 1)).astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little").view(np.uint64)
+
+
+def possible(ta: Tree, da: int, a: slice, tb: Tree, db: int, b: slice) -> np.ndarray:
+    """Which pairs of nodes could hold a similar pair."""
+    ba, na, ma, xa = (v[a] for v in ta.levels[da])
+    bb, nb, mb, xb = (v[b] for v in tb.levels[db])
+    most = _count(ba[:, None] & bb[None]) + np.minimum(xa[:, None], xb[None])
+    least = na[:, None] + nb[None]  # overlap >= least * NUM / (NUM + DEN)
+    return ((NUM + DEN) * most >= NUM * least) & (DEN * ma[:, None] >= NUM * nb[None]) & (DEN * mb[None] >= NUM * na[:, None])
+
+
+def with_partner(bitmaps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Rows that could be similar to another row, by the tree alone."""
+    t = Tree(bitmaps, sizes)
+    hit = np.zeros(len(sizes), bool)
+    stack = [(len(t.levels) - 1, 0, 0)]
+    while stack:
+        level, i, j = stack.pop()
+        d, a0, a1 = (level - 1, *t.span(level, i)) if level else (0, i, i + 1)
+        b0, b1 = t.span(level, j) if level else (j, j + 1)
+        if d == 0 and hit[a0:a1].all() and hit[b0:b1].all():
+            continue
+        for x, y in zip(*np.nonzero(possible(t, d, slice(a0, a1), t, d, slice(b0, b1)))):
+            x, y = int(x) + a0, int(y) + b0
+            if d and y >= x:
+                stack.append((d, x, y))
+            elif not d and x != y:
+                hit[x] = hit[y] = True
+    out = np.zeros(len(sizes), bool)
+    out[t.rows] = hit
+    return out
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     common = len(np.intersect1d(a, b, assume_unique=True))
     return DEN * common >= NUM * (len(a) + len(b) - common)
@@ -140,8 +173,9 @@ class Links:
 
 def tree_links(sets: list[np.ndarray], left: list[int], right: list[int] | None, uf: Links) -> list[tuple[int, int]]:
     """New links within ``left``, or between ``left`` and ``right``."""
-    ta = Tree([sets[i] for i in left])
-    tb = ta if right is None else Tree([sets[i] for i in right])
+    plant = lambda ids: Tree(np.stack([bitmap_of(sets[i]) for i in ids]), np.array([len(sets[i]) for i in ids]))
+    ta = plant(left)
+    tb = ta if right is None else plant(right)
     a_ids = [left[r] for r in ta.rows]
     b_ids = a_ids if right is None else [right[r] for r in tb.rows]
     out: list[tuple[int, int]] = []
@@ -152,11 +186,7 @@ def tree_links(sets: list[np.ndarray], left: list[int], right: list[int] | None,
         db, b0, b1 = (lb - 1, *tb.span(lb, j)) if lb else (0, j, j + 1)
         if da == db == 0 and len({uf.find(x) for x in (*a_ids[a0:a1], *b_ids[b0:b1])}) == 1:
             continue
-        ba, na, ma, xa = (v[a0:a1] for v in ta.levels[da])
-        bb, nb, mb, xb = (v[b0:b1] for v in tb.levels[db])
-        most = _count(ba[:, None] & bb[None]) + np.minimum(xa[:, None], xb[None])
-        least = na[:, None] + nb[None]  # overlap >= least * NUM / (NUM + DEN)
-        ok = ((NUM + DEN) * most >= NUM * least) & (DEN * ma[:, None] >= NUM * nb[None]) & (DEN * mb[None] >= NUM * na[:, None])
+        ok = possible(ta, da, slice(a0, a1), tb, db, slice(b0, b1))
         for x, y in zip(*np.nonzero(ok)):
             x, y = int(x) + a0, int(y) + b0
             if right is None and da == db and y < x:
@@ -171,18 +201,16 @@ def tree_links(sets: list[np.ndarray], left: list[int], right: list[int] | None,
     return out
 
 
-def class_links(src: DataFrame, classes: DataFrame, hot_limit: int = HOT_AT_LEAST, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Links ``(a, b)`` that connect the classes ``(cls, rep)`` of the
-    documents ``src(doc_id, text)``."""
+def class_links(src: DataFrame, facts: DataFrame, classes: DataFrame, hot_limit: int = HOT_AT_LEAST, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Links ``(a, b)`` that connect the classes ``(cls, rep, bits)`` of the
+    documents ``src(doc_id, text)``; ``facts`` has their plain prefixes."""
 
     def first_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        none = np.zeros(0, np.uint64)
         for b in batches:
-            for a in range(0, len(b), 1000):
-                token, n = np.unique(np.concatenate([prefix(shingles(t), none) for t in b["text"].iloc[a : a + 1000]]), return_counts=True)
-                yield pd.DataFrame({"token": token.view(np.int64), "n": n.astype(np.int64)})
+            token, n = np.unique(np.frombuffer(b"".join(b["pre"]), np.int64), return_counts=True)
+            yield pd.DataFrame({"token": token, "n": n.astype(np.int64)})
 
-    counts = src.select("text").mapInPandas(first_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = facts.where("digest is not null").select("pre").mapInPandas(first_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.where(F.col("n") >= hot_limit).orderBy(F.desc("n"), "token").limit(HOT).select("token").toPandas()["token"]  # at most HOT numbers
     hot = np.sort(top.to_numpy(np.int64).view(np.uint64))
 
@@ -201,15 +229,28 @@ def class_links(src: DataFrame, classes: DataFrame, hot_limit: int = HOT_AT_LEAS
                 })
 
     post = persist_table(src.select("text").mapInPandas(postings, "token long, cls long, n long"), "postings")
-    shared = post.groupBy("token").agg(F.min("cls").alias("pivot"), F.max("cls").alias("other")).where("pivot < other").drop("other")
+    # a shingle of two rows whose sizes differ too much links nothing
+    shared = post.groupBy("token").agg(F.min("cls").alias("pivot"), F.max("cls").alias("other"), F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    shared = shared.where((F.col("pivot") < F.col("other")) & ((F.col("c") > 2) | (DEN * F.col("lo") >= NUM * F.col("hi")))).select("token", "pivot")
     met = post.join(shared, "token").groupBy("pivot", "cls").agg(F.first("n").alias("n"))
-    members = persist_table(met.join(classes, "cls").select("pivot", "rep", "n", (F.col("cls") == F.col("pivot")).alias("is_pivot")), "members")
+    members = persist_table(met.join(classes, "cls").select("pivot", "rep", "n", "bits", (F.col("cls") == F.col("pivot")).alias("is_pivot")), "members")
     groups = members.groupBy("pivot").agg(F.greatest(F.ceil(F.sum("n") / CHUNK_TOKENS), F.ceil(F.count("*") / chunk_rows)).cast("int").alias("chunks"))
     dealt = members.join(groups, "pivot").withColumn("chunk", F.pmod(F.xxhash64("rep", "pivot"), F.col("chunks")).cast("int"))
+    width = shuffle_width(src.sparkSession)
+
+    def promising(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in sorted_groups(batches, ["pivot"]):
+            if len(g) > 1:
+                bits = np.frombuffer(b"".join(g["bits"]), np.uint64).reshape(len(g), -1)
+                yield g.loc[with_partner(bits, g["n"].to_numpy()), ["pivot", "rep"]]
+
+    # groups of one chunk are thinned by their trees before any text moves
+    single = dealt.where("chunks = 1").select("pivot", "rep", "n", "bits").repartition(width, "pivot").sortWithinPartitions("pivot")
+    single = single.mapInPandas(promising, "pivot long, rep long").select("pivot", F.lit(0).alias("chunk"), F.lit(1).alias("chunks"), "rep")
+    dealt = dealt.where("chunks > 1").drop("bits")
     spare = dealt.where("is_pivot and chunks > 1").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     columns = ["pivot", "chunk", "chunks", "rep"]
-    dealt = persist_table(dealt.select(*columns).union(spare.select(*columns)).distinct(), "dealt")
-    width = shuffle_width(src.sparkSession)
+    dealt = persist_table(dealt.select(*columns).union(spare.select(*columns)).union(single.select(*columns)).distinct(), "dealt")
     reps = src.where("text is not null").join(dealt.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("rep"), "text")
     reps = persist_table(reps, "reps")
     # texts of the classes that have a group, once for each of their chunks
@@ -254,19 +295,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``(doc_id, n_shingles, component_id)`` per document."""
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
 
+    none = np.zeros(0, np.uint64)
+
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = [shingles(t) for t in b["text"]]
             digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             keys = np.array([class_key(s) for s in sets], np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_shingles": [len(s) for s in sets], "digest": digest, "cls": keys})
+            pre = [prefix(s, none).tobytes() for s in sets]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n_shingles": [len(s) for s in sets], "digest": digest, "cls": keys, "bits": [bitmap_of(s).tobytes() for s in sets], "pre": pre})
 
-    facts = persist_table(src.mapInPandas(describe, "doc_id long, n_shingles long, digest binary, cls long"), "facts")
-    classes = persist_table(facts.where("digest is not null").groupBy("digest", "cls").agg(F.min("doc_id").alias("rep")), "classes")
-    links = class_links(src, classes.select("cls", "rep"), **kw)
+    facts = persist_table(src.mapInPandas(describe, "doc_id long, n_shingles long, digest binary, cls long, bits binary, pre binary"), "facts")
+    classes = persist_table(facts.where("digest is not null").groupBy("digest", "cls").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits")), "classes")
+    links = class_links(src, facts, classes.select("cls", "rep", "bits"), **kw)
     parts = connected_components(links)
     named = classes.join(parts, classes["rep"] == parts["node"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    return facts.join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return facts.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
