@@ -178,17 +178,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for rid, text in zip(b["rid"], b["text"]):
-                data = (text or "").encode("utf-8", "surrogatepass")
-                first, last, place, h = segments(data, length, anchor)
-                if not len(first):
-                    continue
-                view = memoryview(data)
-                dig = [xxhash.xxh3_128_intdigest(view[a : z + length]) for a, z in zip(first.tolist(), last.tolist())]
-                yield pd.DataFrame({
-                    "anchor": _signed(h), "d1": np.array([d >> 64 for d in dig], np.uint64).view(np.int64), "d2": np.array([d & (1 << 64) - 1 for d in dig], np.uint64).view(np.int64),
-                    "rid": rid, "a": first.astype(np.int64), "z": (last + 1).astype(np.int64), "off": (place - first).astype(np.int32),
-                })
+            for at in range(0, len(b), 200):  # a frame for 200 documents
+                parts: list[tuple] = []
+                part = b.iloc[at : at + 200]
+                for rid, text in zip(part["rid"].tolist(), part["text"]):
+                    data = (text or "").encode("utf-8", "surrogatepass")
+                    first, last, place, h = segments(data, length, anchor)
+                    view = memoryview(data)
+                    dig = b"".join(xxhash.xxh3_128_digest(view[a : z + length]) for a, z in zip(first.tolist(), last.tolist()))
+                    parts.append((_signed(h), np.frombuffer(dig, ">i8").reshape(-1, 2), np.full(len(first), rid), first, last + 1, place - first))
+                h, dig, rid, a, z, off = map(np.concatenate, zip(*parts))
+                yield pd.DataFrame({"anchor": h, "d1": dig[:, 0].astype(np.int64), "d2": dig[:, 1].astype(np.int64), "rid": rid, "a": a.astype(np.int64), "z": z.astype(np.int64), "off": off.astype(np.int32)})
 
     # place within a segment is part of its identity: the same bytes may be cut
     # with another anchor offset only if the anchor differs
@@ -205,13 +205,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     source = docs.select("rid", "text").join(lists, "rid")
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["anchor", "kinds", "copies", "rid", "a", "off", "content"]
         for b in batches:
-            for rid, text, need in zip(b["rid"], b["text"], b["need"]):
+            rows: list[tuple] = []
+            for rid, text, need in zip(b["rid"].tolist(), b["text"], b["need"]):
                 data = text.encode("utf-8", "surrogatepass")
-                yield pd.DataFrame(
-                    [(x["anchor"], x["kinds"], x["copies"], rid, x["a"], x["off"], data[x["a"] : x["z"] + length - 1]) for x in need],
-                    columns=["anchor", "kinds", "copies", "rid", "a", "off", "content"],
-                )
+                rows.extend((x["anchor"], x["kinds"], x["copies"], rid, x["a"], x["off"], data[x["a"] : x["z"] + length - 1]) for x in need)
+                if len(rows) > 20_000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     contents = persist_table(source.mapInPandas(fetch, "anchor long, kinds long, copies long, rid long, a long, off int, content binary"), "contents")
     tasks = contents.where(F.col("kinds") <= group_limit).repartition(shuffle_width(spark), "anchor").sortWithinPartitions("anchor")
