@@ -120,7 +120,8 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     cut = cut.withColumn("block", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("z") - 1) / block))))
     cut = cut.withColumn("words", F.least("z", (F.col("block") + 1) * block) - F.greatest("a", F.col("block") * block))
     use = mix.groupBy("rank", "block").agg(F.count("*").alias("times"))
-    taken = cut.join(use, ["rank", "block"]).groupBy("rid").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    # the optimiser takes the exploded slots for as small as the sources table
+    taken = cut.join(use.hint("merge"), ["rank", "block"]).groupBy("rid").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     return known.join(taken, "rid", "left").select("rid", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
