@@ -19,7 +19,9 @@ back nothing; extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -107,79 +109,129 @@ class Table:
         return out
 
 
-class WordTokenizer:
-    """The library's encoder with a bounded cache of white-space-free chunks;
-    white space is dropped by this kind of tokenizer and no token crosses it."""
+#: Characters whose lower case, normal form and class are the same in every
+#: Unicode version; they need no normaliser (\u0130 becomes two characters).
+PLAIN = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u017f]+")
+#: Fixed pattern of this tokenizer's pre-tokenizer, on plain lower-case text.
+_LETTER, _NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+PRETOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
+END_OF_WORD = "</w>"
+#: Characters of text that are tokenised together.
+GROUP_CHARS = 2_000_000
 
-    def __init__(self, path: str, cache_size: int = 600_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.no_truncation()
-        self.tok.no_padding()
-        special = self.tok.get_added_tokens_decoder()
-        self.between_id = min(special)
-        self.between = special[self.between_id].content
-        self.vocab_size = self.tok.get_vocab_size(with_added_tokens=True)
-        self.cache_size = cache_size
-        self._reset()
+class Spans:
+    """Id sequences of keys in one growing array."""
 
-    def _reset(self) -> None:
-        self.cache: dict[bytes, int] = {}
+    def __init__(self) -> None:
+        self.at: dict = {}
         self.flat = np.zeros(1 << 16, np.int32)
         self.start = np.zeros(1 << 14, np.int64)
         self.count = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _learn(self, new: set[bytes]) -> None:
-        """Encode new chunks in one call, the library's own special token
-        between them; chunks that hold its string go one by one."""
-        words = [(w, w.decode("utf-8", "replace")) for w in new]
-        odd = [x for x in words if self.between in x[1]]
-        even = [x for x in words if self.between not in x[1]]
-        ids = np.array(self.tok.encode(self.between.join(x[1] for x in even), add_special_tokens=False).ids, np.int32)
-        cuts = np.flatnonzero(ids == self.between_id)
-        parts = np.split(ids, cuts)
-        self._store(even, [parts[0], *(p[1:] for p in parts[1:])] if even else [])
-        self._store(odd, [np.array(self.tok.encode(x[1], add_special_tokens=False).ids, np.int32) for x in odd])
-
-    def _store(self, words: list[tuple[bytes, str]], parts: list[np.ndarray]) -> None:
-        assert len(words) == len(parts)
-        if not words:
-            return
-        i, k = len(self.cache), len(words)
-        counts = np.fromiter(map(len, parts), np.int64, k)
+    def add(self, keys: list, ids: np.ndarray, counts: np.ndarray) -> None:
+        i, k = len(self.at), len(keys)
         while i + k > len(self.start):
             self.start, self.count = np.resize(self.start, 2 * len(self.start)), np.resize(self.count, 2 * len(self.count))
-        total = int(counts.sum())
-        while self.used + total > len(self.flat):
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + total] = np.concatenate(parts)
+        self.flat[self.used : self.used + len(ids)] = ids
         self.start[i : i + k] = self.used + np.cumsum(counts) - counts
         self.count[i : i + k] = counts
-        self.used += total
-        self.cache.update(zip((w for w, _ in words), range(i, i + k)))
-
-    def prepare(self, texts: list[str | None]) -> None:
-        """Learn the new chunks of several texts in one call; a full cache
-        keeps its first fifth, mostly the frequent chunks."""
-        new: set[bytes] = set()
-        for text in texts:
-            new.update(set((text or "").encode("utf-8", "surrogatepass").split()).difference(self.cache))
-        if new and len(self.cache) > self.cache_size:
-            keep = self.cache_size // 5
-            self.cache = {c: i for c, i in self.cache.items() if i < keep}
+        self.used += len(ids)
+        self.at.update(zip(keys, range(i, i + k)))
+
+    def take(self, keys: list) -> tuple[np.ndarray, np.ndarray]:
+        """Concatenated ids of known keys, and how many each key has."""
+        e = np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))
+        return self.flat[spread(self.start[e], self.count[e])], self.count[e]
+
+    def trim(self, size: int) -> None:
+        """Beyond ``size`` keys, keep the first fifth: mostly the frequent ones."""
+        if len(self.at) > size:
+            keep = size // 5
+            self.at = {k: i for k, i in self.at.items() if i < keep}
             self.used = int(self.start[keep])
-        if new:
-            self._learn(new)
+
+
+class WordTokenizer:
+    """The library's encoder with bounded caches of white-space-free chunks;
+    white space is dropped by this kind of tokenizer and no token crosses it.
+
+    A chunk of plain characters is cut into its pre-tokens here, and each new
+    pre-token goes once through the library's model; all other chunks, and
+    those that may hold a special token, go through the library whole. The
+    model marks the last id of each pre-token as a word end, so many
+    pre-tokens share one call."""
+
+    def __init__(self, path: str, cache_size: int = 400_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tok = Tokenizer.from_file(path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        self.vocab_size = self.tok.get_vocab_size(with_added_tokens=True)
+        self.words = Tokenizer.from_file(path)
+        self.words.no_truncation()
+        self.words.no_padding()
+        self.words.normalizer = None
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.vocab_size, bool)
+        self.ends[[i for t, i in self.tok.get_vocab(with_added_tokens=False).items() if t.endswith(END_OF_WORD)]] = True
+        self.cache_size = cache_size
+        self.chunks, self.pieces = Spans(), Spans()
+
+    def _learn_pieces(self, new: list[str], step: int = 256) -> None:
+        for a in range(0, len(new), step):
+            part = new[a : a + step]
+            ids = np.array(self.words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) != len(part):
+                raise ValueError("this vocabulary does not mark word ends")
+            self.pieces.add(part, ids, np.diff(last, prepend=-1))
+
+    def _learn(self, new: set[bytes]) -> None:
+        raw = list(new)
+        texts = b" ".join(raw).decode("utf-8", "replace").split(" ")
+        simple = [PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
+        odd = [t for t, ok in zip(texts, simple) if not ok]
+        if odd:
+            seqs = [e.ids for e in self.tok.encode_batch_fast(odd, add_special_tokens=False)]
+            keys = [w for w, ok in zip(raw, simple) if not ok]
+            self.chunks.add(keys, np.fromiter((i for s in seqs for i in s), np.int32), np.fromiter(map(len, seqs), np.int64, len(seqs)))
+        if len(odd) < len(texts):
+            plain = [w for w, ok in zip(raw, simple) if ok]
+            lowered = " ".join(t for t, ok in zip(texts, simple) if ok).lower().split(" ")
+            parts = list(map(PRETOKEN.findall, lowered))
+            flat = list(itertools.chain.from_iterable(parts))
+            self.pieces.trim(self.cache_size)
+            self._learn_pieces(list(set(flat).difference(self.pieces.at)))
+            ids, sizes = self.pieces.take(flat)
+            firsts = np.cumsum([0, *map(len, parts)])[:-1]
+            self.chunks.add(plain, ids, np.add.reduceat(sizes, firsts))
+
+    def encode_many(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each whole text; new chunks of several texts are learned in
+        one call."""
+        a = 0
+        while a < len(texts):
+            held, size = [], 0
+            while a < len(texts) and (not held or size + len(texts[a] or "") <= GROUP_CHARS):
+                size += len(texts[a] or "")
+                held.append((texts[a] or "").encode("utf-8", "surrogatepass").split())
+                a += 1
+            if new := set(itertools.chain.from_iterable(held)).difference(self.chunks.at):
+                if len(self.chunks.at) > self.cache_size:
+                    self.chunks.trim(self.cache_size)
+                    new = set(itertools.chain.from_iterable(held)).difference(self.chunks.at)
+                self._learn(new)
+            for chunks in held:
+                yield self.chunks.take(chunks)[0]
 
     def encode(self, text: str | None) -> np.ndarray:
-        chunks = (text or "").encode("utf-8", "surrogatepass").split()
-        if new := set(chunks).difference(self.cache):
-            self._learn(new)
-        e = np.fromiter(map(self.cache.__getitem__, chunks), np.int64, len(chunks))
-        return self.flat[spread(self.start[e], self.count[e])]
+        return next(self.encode_many([text]))
 
 
 _LOADED: dict[str, WordTokenizer] = {}
@@ -205,10 +257,8 @@ def write_tokens(docs: DataFrame, path: str, vocab_path: str, id_col: str = "doc
         tok, done = load(vocab_path), 0
         for b in batches:
             rows = []
-            for at, (part, doc, text) in enumerate(zip(b["part"], b["doc_id"], b["text"])):
-                if at % 500 == 0:
-                    tok.prepare(b["text"].iloc[at : at + 500].tolist())
-                ids = np.append(tok.encode(text), END_ID)
+            for part, doc, seq in zip(b["part"], b["doc_id"], tok.encode_many(b["text"].tolist())):
+                ids = np.append(seq, END_ID)
                 rows.append((part, None if pd.isna(doc) else int(doc), done, ids.astype("<u2" if tok.vocab_size <= 65536 else "<u4").tobytes()))
                 done += len(ids)
             yield pd.DataFrame(rows, columns=["part", "doc_id", "rel", "ids"]).astype({"doc_id": "Int64"})

@@ -197,6 +197,17 @@ def test_token_file_round_trip(spark, tmp_path):
     assert tokens.read_tokens(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_word_tokenizer_equals_library_with_small_caches():
+    path = bpe.vocabulary("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    rng = random.Random(11)
+    marks = "aAeEsSéÉ'’0²½<|>/w_ \t\n\x0b\xa0\u0301İıſŉµªº×÷¼.-#&ΣК語👍"
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    texts += ODD + ["<|endoftext|> x<|startoftext|>y <|EndOfText|>", "it's I'LL 'Re’s x²y", "H\u0331 İstanbul </w> a</w>b"]
+    for ids, t in zip(tokens.WordTokenizer(path, cache_size=100).encode_many(texts), texts, strict=True):
+        assert ids.tolist() == lib.encode(t or "", add_special_tokens=False).ids, t
+
+
 def test_damaged_block_is_found():
     import numpy as np
 
