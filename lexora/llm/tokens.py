@@ -13,7 +13,7 @@ order by a range partitioning; offsets are relative to the range, and the sums
 of the ranges (one row each) turn them into offsets in the whole output.
 
 Edge cases: null and empty text hold just the end id; null ids sort first;
-repeated ids keep one row each, ordered by text; an empty table writes and reads
+repeated ids keep one row each, ordered by a hash of the text, then the text; an empty table writes and reads
 back nothing; extra columns are ignored.
 """
 
@@ -251,7 +251,9 @@ def write_tokens(docs: DataFrame, path: str, vocab_path: str, id_col: str = "doc
     """Encode every whole text and write the format to ``path``."""
     spark = docs.sparkSession
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    ranged = src.repartitionByRange(shuffle_width(spark), "doc_id", "text").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    # the driver gets a sample of the range keys: numbers, never texts
+    keyed = src.withColumn("tie", F.xxhash64("text"))
+    ranged = keyed.repartitionByRange(shuffle_width(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").withColumn("part", F.spark_partition_id())
 
     def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok, done = load(vocab_path), 0
