@@ -43,6 +43,9 @@ WORDS, NUM, DEN = 5, 4, 5  # shingle width; similarity NUM/DEN
 HOT, HOT_AT_LEAST = 1 << 16, 200
 CHUNK_TOKENS, CHUNK_ROWS = 4_000_000, 2000
 BITS, LEAF = 2048, 8
+#: Ids of 8 bytes that may be broadcast, some 64 MB as a hash table; beyond
+#: that the join shuffles.
+BROADCAST_IDS = 2_000_000
 _POP = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
@@ -251,7 +254,11 @@ def class_links(src: DataFrame, facts: DataFrame, classes: DataFrame, hot_limit:
     spare = dealt.where("is_pivot and chunks > 1").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     columns = ["pivot", "chunk", "chunks", "rep"]
     dealt = persist_table(dealt.select(*columns).union(spare.select(*columns)).union(single.select(*columns)).distinct(), "dealt")
-    reps = src.where("text is not null").join(dealt.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("rep"), "text")
+    # the texts stay where they are unless the ids are too many to send around
+    asked = persist_table(dealt.select(F.col("rep").alias("doc_id")).distinct(), "asked")
+    if asked.count() <= BROADCAST_IDS:
+        asked = F.broadcast(asked)
+    reps = src.where("text is not null").join(asked, "doc_id").select(F.col("doc_id").alias("rep"), "text")
     reps = persist_table(reps, "reps")
     # texts of the classes that have a group, once for each of their chunks
     tasks = reps.join(dealt, "rep").repartition(width, "pivot", "chunk").sortWithinPartitions("pivot", "chunk", "rep")
