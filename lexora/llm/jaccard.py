@@ -5,7 +5,9 @@ Documents with equal sets form one class (first aggregation), so groups of exact
 copies cost one row. Classes whose Jaccard similarity is 0.8 or more share a
 shingle among the first floor(n/5)+1 of any common order of shingles (prefix
 principle). The order is by hash, with the ``HOT`` most frequent prefix shingles
-moved to its end, so a common passage does not gather unrelated documents.
+moved to its end, so a common passage does not gather unrelated documents. Their
+counts leave out what a batch of documents holds once; any order of shingles
+gives the same result, so this costs no links.
 
 All classes that share a prefix shingle belong to the group of the smallest
 document among them; a class is in few groups. Groups are dealt into chunks of
@@ -206,14 +208,13 @@ def tree_links(sets: list[np.ndarray], left: list[int], right: list[int] | None,
 
 def class_links(src: DataFrame, facts: DataFrame, classes: DataFrame, hot_limit: int = HOT_AT_LEAST, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Links ``(a, b)`` that connect the classes ``(cls, rep, bits)`` of the
-    documents ``src(doc_id, text)``; ``facts`` has their plain prefixes."""
+    documents ``src(doc_id, text)``; ``facts`` has the counts of shingles."""
 
     def first_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            token, n = np.unique(np.frombuffer(b"".join(b["pre"]), np.int64), return_counts=True)
-            yield pd.DataFrame({"token": token, "n": n.astype(np.int64)})
+            yield pd.DataFrame({"token": np.frombuffer(b"".join(b["often"]), np.int64), "n": np.frombuffer(b"".join(b["times"]), np.int64)})
 
-    counts = facts.where("digest is not null").select("pre").mapInPandas(first_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = facts.where("often is not null").select("often", "times").mapInPandas(first_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.where(F.col("n") >= hot_limit).orderBy(F.desc("n"), "token").limit(HOT).select("token").toPandas()["token"]  # at most HOT numbers
     hot = np.sort(top.to_numpy(np.int64).view(np.uint64))
 
@@ -309,10 +310,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             sets = [shingles(t) for t in b["text"]]
             digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             keys = np.array([class_key(s) for s in sets], np.int64)
-            pre = [prefix(s, none).tobytes() for s in sets]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_shingles": [len(s) for s in sets], "digest": digest, "cls": keys, "bits": [bitmap_of(s).tobytes() for s in sets], "pre": pre})
-
-    facts = persist_table(src.mapInPandas(describe, "doc_id long, n_shingles long, digest binary, cls long, bits binary, pre binary"), "facts")
+            out = pd.DataFrame({"doc_id": b["doc_id"], "n_shingles": [len(s) for s in sets], "digest": digest, "cls": keys, "bits": [bitmap_of(s).tobytes() for s in sets]})
+            token, n = np.unique(np.concatenate([none, *(prefix(s, none) for s in sets)]), return_counts=True)
+            counts = (token[n > 1].tobytes(), n[n > 1].astype(np.int64).tobytes())
+            for name, data in zip(("often", "times"), counts):  # held by the batch's first row
+                out[name] = [data, *[None] * (len(b) - 1)] if len(b) else []
+            yield out
+
+    facts = persist_table(src.mapInPandas(describe, "doc_id long, n_shingles long, digest binary, cls long, bits binary, often binary, times binary"), "facts")
     classes = persist_table(facts.where("digest is not null").groupBy("digest", "cls").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits")), "classes")
     links = class_links(src, facts, classes.select("cls", "rep", "bits"), **kw)
     parts = connected_components(links)
