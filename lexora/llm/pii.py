@@ -1,15 +1,20 @@
 """Personal data: fixed patterns plus information-theoretic sanitisation.
 
 Patterns find e-mail addresses, IPv4 addresses, card and phone numbers. Each
-distinct such string is a protected entity. A term (a run of three letters or
-more, lower-cased) that stands within ``window`` characters of an entity is a
-candidate; over all documents, with n_c documents holding the entity, n_t the
-term, n_ct both close together, and N in all,
+distinct such string is a protected entity, and so are its classes: the kind,
+and the domain of an e-mail address. An exact string mostly stands in one text,
+so its classes are where terms can meet it repeatedly. A term (a run of three
+letters or more, lower-cased) that stands within ``window`` characters of an
+entity is a candidate; over all documents, with n_c documents holding the
+entity, n_t the term, n_ct both close together, and N in all,
 
     PMI(c;t) = log(n_ct * N / (n_c * n_t)),   IC(c) = log(N / n_c),
 
-and the term discloses the entity when PMI >= alpha * IC and n_ct counts at
-least ``support`` different texts. Every occurrence of a disclosing term, in any
+and the term discloses the entity when PMI >= alpha * IC and the counts bear it:
+n_ct counts at least ``support`` different texts, or, with fewer, the log
+likelihood ratio of the two (Dunning's G2, which holds for rare counts; copies
+of a text count once in it) is at least ``ratio``. A term seen once, beside a
+string seen once, so counts among many documents but not among few. Every occurrence of a disclosing term, in any
 document, becomes a span of kind ``term``; sanitising replaces it by the general
 word TERM, and pattern spans by their kind.
 
@@ -35,13 +40,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexora.llm.common import persist_table, table
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 ALPHA, SUPPORT, WINDOW = 0.95, 3, 60
+RATIO = 10.83  # chi-square of one degree of freedom at 0.001
 BITS = 1 << 22
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -104,16 +110,27 @@ def _hash(s: str) -> int:
     return xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def entities(kind: str, said: str) -> list[int]:
+    """The exact string and its classes."""
+    said = said.lower()
+    names = [kind + said, f"kind {kind}"]
+    if kind == "email":
+        names.append("domain " + said.rpartition("@")[2])
+    return [_hash(x) for x in names]
+
+
 def near_terms(text: str, spans: list[tuple[int, int, str]], window: int) -> dict[int, set[str]]:
     """Terms close to each entity of a text, outside all spans."""
     out: dict[int, set[str]] = {}
     for a, b, k in spans:
         lo, hi = max(0, a - window), b + window
-        terms = out.setdefault(_hash(k + text[a:b].lower()), set())
+        terms = set()
         for m in _TERM.finditer(text, lo, min(len(text), hi)):
             whole = (m.start() > lo or lo == 0) and (m.end() < hi)
             if whole and not any(m.start() < e and m.end() > s for s, e, _ in spans if s < hi and e > lo):
                 terms.add(m[0].lower())
+        for c in entities(k, text[a:b]):
+            out.setdefault(c, set()).update(terms)
     return out
 
 
@@ -139,7 +156,16 @@ class _Maybe(dict):
         return hit
 
 
-def disclosing_terms(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT, window: int = WINDOW) -> DataFrame:
+def _likelihood_ratio(k: Column, t: Column, c: Column, n: Column) -> Column:
+    """Dunning's G2 of k texts with both, t with the term, c with the entity, n in all."""
+
+    def part(seen: Column, row: Column, column: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen * n / (row * column))).otherwise(0.0)
+
+    return 2 * (part(k, t, c) + part(t - k, t, n - c) + part(c - k, n - t, c) + part(n - t - c + k, n - t, n - c))
+
+
+def disclosing_terms(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT, window: int = WINDOW, ratio: float = RATIO) -> DataFrame:
     """The distributed table ``(term)`` of terms that disclose an entity."""
     src = docs.select(docs[text_col].alias("text"))
 
@@ -158,7 +184,7 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", alpha: float = ALP
     # per text first, so that copies count once for support, all for n_ct
     per_text = src.mapInPandas(pairs, "entity long, term string, h long").groupBy("entity", "term", "h").agg(F.count("*").alias("k"))
     counts = persist_table(per_text.groupBy("entity", "term").agg(F.sum("k").alias("n_ct"), F.count("*").alias("texts")), "pairs")
-    candidates = counts.where((F.col("term") != "") & (F.col("texts") >= support))
+    candidates = counts.where("term <> ''")
     maybe_bits = _bits(candidates)
 
     def freq(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,10 +202,13 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", alpha: float = ALP
 
     freqs = persist_table(src.mapInPandas(freq, "term string, n_t long").groupBy("term").agg(F.sum("n_t").alias("n_t")), "freqs")
     total = freqs.where("term = ''").agg(F.sum("n_t")).first()[0] or 0
-    entities = counts.where("term = ''").select("entity", F.col("n_ct").alias("n_c"))
-    scored = candidates.join(freqs, "term").join(entities, "entity")
-    pmi = F.log(F.col("n_ct") * F.lit(float(total)) / (F.col("n_c") * F.col("n_t")))
-    return persist_table(scored.where((pmi >= alpha * F.log(F.lit(float(total)) / F.col("n_c"))) & (F.col("n_c") < total)).select("term").distinct(), "terms")
+    held = counts.where("term = ''").select("entity", F.col("n_ct").alias("n_c"), F.col("texts").alias("c_texts"))
+    scored = candidates.join(freqs, "term").join(held, "entity").where(F.col("n_c") < total)
+    n = F.lit(float(total))
+    pmi = F.log(F.col("n_ct") * n / (F.col("n_c") * F.col("n_t")))
+    once = F.col("n_t") * F.col("texts") / F.col("n_ct")  # the term's documents, less the copies
+    borne = (F.col("texts") >= support) | (_likelihood_ratio(F.col("texts"), once, F.col("c_texts"), n) >= ratio)
+    return persist_table(scored.where((pmi >= alpha * F.log(n / F.col("n_c"))) & borne).select("term").distinct(), "terms")
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:

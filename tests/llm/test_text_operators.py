@@ -121,6 +121,19 @@ def test_disclosing_terms(spark):
     assert not any("zeb@" in (t or "") or "please" in (t or "") for t in clean.values())
 
 
+def test_terms_beside_entities_of_one_text(spark):
+    names = ["Quillon", "Vasterby", "Ombrecht", "Tarwinkel", "Ysolde"]
+    filler = [f"word{'abcdefghij'[i % 10]} and the other day with plenty of rest" for i in range(300)]
+    texts = filler + [f"and the other day mailto {w} under {w[:3]}x@{w[1:4]}y.org with plenty of rest" for w in names]
+    docs = docs_of(spark, texts)
+    got = {r.term for r in pii.disclosing_terms(docs).collect()}
+    assert got == {w.lower() for w in names} | {"mailto", "under"}
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean[300] == "and the other day TERM TERM TERM EMAIL with plenty of rest" and clean[0] == texts[0]
+    # seen once each, but among few documents: no evidence
+    assert pii.disclosing_terms(docs_of(spark, texts[295:301])).count() == 0
+
+
 def test_automaton_parses_like_substring_search(spark):
     rnd = random.Random(3)
     samples = {k: "".join(rnd.choice(a) for _ in range(300)) for k, a in (("aa", "abc "), ("bb", "bcd "))}
