@@ -24,9 +24,12 @@ could link is left unseen; components come from alternating star rounds.
 
 Edge cases: fewer than five words make one shingle of the whole sequence; no
 words (or null text) make an empty set, which links with nothing; a document
-with only null or empty text is its own component; repeated rows with equal ids
-are one document, linked by any of its texts; very long texts are taken
-whole; an empty table gives an empty result.
+with only null or empty text is its own component; very long texts are taken
+whole; an empty table gives an empty result. Rows are numbered once in a written
+table and that number is the document throughout; ids are a payload. So rows
+with a null id are compared like others, and rows with equal ids are documents
+of their own, each in the component of its text. A component has the smallest
+id of its rows, null only if none has one.
 """
 
 from __future__ import annotations
@@ -208,7 +211,7 @@ def tree_links(sets: list[np.ndarray], left: list[int], right: list[int] | None,
 
 def class_links(src: DataFrame, facts: DataFrame, classes: DataFrame, hot_limit: int = HOT_AT_LEAST, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Links ``(a, b)`` that connect the classes ``(cls, rep, bits)`` of the
-    documents ``src(doc_id, text)``; ``facts`` has the counts of shingles."""
+    documents ``src(row, text)``; ``facts`` has the counts of shingles."""
 
     def first_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -256,10 +259,10 @@ def class_links(src: DataFrame, facts: DataFrame, classes: DataFrame, hot_limit:
     columns = ["pivot", "chunk", "chunks", "rep"]
     dealt = persist_table(dealt.select(*columns).union(spare.select(*columns)).union(single.select(*columns)).distinct(), "dealt")
     # the texts stay where they are unless the ids are too many to send around
-    asked = persist_table(dealt.select(F.col("rep").alias("doc_id")).distinct(), "asked")
+    asked = persist_table(dealt.select(F.col("rep").alias("row")).distinct(), "asked")
     if asked.count() <= BROADCAST_IDS:
         asked = F.broadcast(asked)
-    reps = src.where("text is not null").join(asked, "doc_id").select(F.col("doc_id").alias("rep"), "text")
+    reps = src.where("text is not null").join(asked, "row").select(F.col("row").alias("rep"), "text")
     reps = persist_table(reps, "reps")
     # texts of the classes that have a group, once for each of their chunks
     tasks = reps.join(dealt, "rep").repartition(width, "pivot", "chunk").sortWithinPartitions("pivot", "chunk", "rep")
@@ -299,9 +302,18 @@ def class_links(src: DataFrame, facts: DataFrame, classes: DataFrame, hot_limit:
     return links.union(more)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` per document."""
-    src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column ``__row``, written so that each row keeps it."""
+    return persist_table(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
+def row_components(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """``(row, id, anon, n_shingles, best)`` for each row of a numbered table.
+    ``best`` is the row of its component with the smallest ``(anon, id, row)``,
+    where ``anon`` marks a null id; null for a row without words."""
+    number = rows[id_col].cast("long")
+    # Arrow hands null integers to pandas as floats, so they travel as 0
+    src = rows.select(rows["__row"].alias("row"), F.coalesce(number, F.lit(0)).alias("id"), number.isNull().alias("anon"), rows[text_col].alias("text"))
 
     none = np.zeros(0, np.uint64)
 
@@ -310,26 +322,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             sets = [shingles(t) for t in b["text"]]
             digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             keys = np.array([class_key(s) for s in sets], np.int64)
-            out = pd.DataFrame({"doc_id": b["doc_id"], "n_shingles": [len(s) for s in sets], "digest": digest, "cls": keys, "bits": [bitmap_of(s).tobytes() for s in sets]})
+            out = pd.DataFrame({"row": b["row"], "id": b["id"], "anon": b["anon"], "n_shingles": [len(s) for s in sets], "digest": digest, "cls": keys, "bits": [bitmap_of(s).tobytes() for s in sets]})
             token, n = np.unique(np.concatenate([none, *(prefix(s, none) for s in sets)]), return_counts=True)
             counts = (token[n > 1].tobytes(), n[n > 1].astype(np.int64).tobytes())
             for name, data in zip(("often", "times"), counts):  # held by the batch's first row
                 out[name] = [data, *[None] * (len(b) - 1)] if len(b) else []
             yield out
 
-    facts = persist_table(src.mapInPandas(describe, "doc_id long, n_shingles long, digest binary, cls long, bits binary, often binary, times binary"), "facts")
-    classes = persist_table(facts.where("digest is not null").groupBy("digest", "cls").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits")), "classes")
-    links = class_links(src, facts, classes.select("cls", "rep", "bits"), **kw)
+    facts = persist_table(src.mapInPandas(describe, "row long, id long, anon boolean, n_shingles long, digest binary, cls long, bits binary, often binary, times binary"), "facts")
+    classes = facts.where("digest is not null").groupBy("digest", "cls").agg(F.min(F.struct("anon", "id", "row")).alias("best"), F.first("bits").alias("bits"))
+    classes = persist_table(classes.withColumn("rep", F.col("best.row")), "classes")
+    links = class_links(src.select("row", "text"), facts, classes.select("cls", "rep", "bits"), **kw)
     parts = connected_components(links)
-    named = classes.join(parts, classes["rep"] == parts["node"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    return facts.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked = persist_table(classes.select("digest", "rep", "best").join(parts, F.col("rep") == parts["node"]).select("digest", "component", "best"), "linked")
+    first = linked.groupBy("component").agg(F.min("best").alias("best"))
+    named = linked.select("digest", "component").join(first, "component").select("digest", F.col("best").alias("linked"))
+    named = classes.select("digest", "best").join(named, "digest", "left").select("digest", F.coalesce("linked", "best").alias("best"))
+    return facts.select("row", "id", "anon", "n_shingles", "digest").join(named, "digest", "left").drop("digest")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group: the one whose id names it.
-    Documents of no words belong to no group and stay."""
-    found = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, docs[id_col] == found["__id"], "left_semi")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` per row."""
+    found = row_components(numbered(docs.select(id_col, text_col)), id_col, text_col, **kw)
+    own, best = F.when(~F.col("anon"), F.col("id")), F.when(~F.col("best.anon"), F.col("best.id"))
+    return found.select(own.alias("doc_id"), "n_shingles", F.when(F.col("best").isNull(), own).otherwise(best).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """``docs`` with one row of each group: of those with the smallest id, the
+    first; a null id counts as the largest. Rows of no words belong to no group
+    and stay. Neither null nor repeated ids lose a row or keep a copy."""
+    rows = numbered(docs)
+    found = row_components(rows, id_col, text_col, **kw).where("best is null or best.row = row").select(F.col("row").alias("__row"))
+    return rows.join(found, "__row", "left_semi").select(*docs.columns)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

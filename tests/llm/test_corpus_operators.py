@@ -3,7 +3,7 @@ nearest neighbours, sharding, mixing, and the pipeline."""
 
 import hashlib
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -126,6 +126,24 @@ def test_jaccard_of_the_query(spark):
     assert jaccard.near_duplicates(table(spark, SF, "documents").limit(0)).count() == 0
 
 
+def test_jaccard_of_null_and_repeated_ids(spark):
+    word = lambda k, n=30: " ".join(f"{k}{i}" for i in range(n))
+    big = (1 << 60) + 1
+    rows = [
+        (None, word("a")), (None, word("a") + " end"), (None, word("b")),  # near copies without ids, one alone
+        (5, word("c")), (2, word("c")), (5, word("d")),  # a class named by 2, and its id again
+        (7, word("e")), (7, word("e")), (7, word("e") + " end"),  # copies with one id
+        (None, word("f")), (big, word("f")),
+        (None, ""), (None, None), (7, " "),
+    ]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int").coalesce(1)
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.n for r in kept.collect()) == [0, 2, 4, 5, 6, 10, 11, 12, 13]
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect())
+    assert got == Counter([(None, 26, None), (None, 27, None), (None, 26, None), (5, 26, 2), (2, 26, 2), (5, 26, 5), (7, 26, 7), (7, 26, 7), (7, 27, 7), (None, 26, big), (big, 26, big), (None, 0, None), (None, 0, None), (7, 0, 7)])
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, j) for j in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
