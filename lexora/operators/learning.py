@@ -121,24 +121,31 @@ def with_vector(df: DataFrame, columns: list[str], out: str = "features") -> Dat
     return VectorAssembler(inputCols=columns, outputCol=out, handleInvalid="keep").transform(df.fillna(0, columns))
 
 
-def text_vectors(weights: DataFrame, vocab: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """Sparse vectors of a fixed vocabulary, one row for each key."""
+def text_vectors(weights: DataFrame, vocab: DataFrame, keys: list[str], size: int, rows: DataFrame | None = None) -> DataFrame:
+    """Sparse vectors of a fixed vocabulary, one row for each key with a term;
+    given ``rows``, one for each of them, empty where it has none."""
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
     index = vocab.select("term", (F.row_number().over(Window.orderBy(F.desc("cf"), "term")) - 1).alias("i"))  # at most the vocabulary's size
     packed = weights.join(index, "term").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "weight"))).alias("iw"))
-    make = F.udf(lambda iw: SparseVector(size, [x.i for x in iw], [x.weight for x in iw]), VectorUDT())
-    return packed.select(*keys, make("iw").alias("features"))
+    make = F.udf(lambda iw: SparseVector(size, [x.i for x in iw or ()], [x.weight for x in iw or ()]), VectorUDT())
+    if rows is not None:
+        packed = rows.join(packed, keys, "left")
+    return packed.select(*(keys if rows is None else rows.columns), make("iw").alias("features"))
 
 
-def cross_validate(df: DataFrame, model, label: str, key: str, folds: int = 5) -> DataFrame:
+def cross_validate(df: DataFrame | list[DataFrame], model, label: str, key: str, folds: int = 5) -> DataFrame:
     """Predictions ``(fold, key, label, predicted)`` of a model fitted on the
-    other folds; ``df`` has features, label, key and fold."""
-    indexer = StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc").fit(df)
+    other folds; ``df`` has features, label, key and fold. Where features are
+    fitted themselves, it is a list: all rows for each fold, as that fold's
+    training part makes them."""
+    each = df if isinstance(df, list) else [df]
+    indexer = StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc").fit(each[0])
     names = F.array(*[F.lit(x) for x in indexer.labels])
-    data = indexer.transform(df).cache()
+    each = [indexer.transform(x).cache() for x in each]
 
     def one(k: int) -> DataFrame:
+        data = each[k % len(each)]
         fitted = model.copy({model.getParam("labelCol"): "__y"}) if model.hasParam("labelCol") else model
         fitted = fitted.fit(data.where(F.col("fold") != k))
         return fitted.transform(data.where(F.col("fold") == k)).select("fold", key, label, F.element_at(names, (F.col("prediction") + 1).cast("int")).alias("predicted"))

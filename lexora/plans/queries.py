@@ -713,15 +713,25 @@ def _(s, d):
 
 
 def _text_data(s, d, size: int = 500):
-    counts, vocab, w = _tfidf(s, d, 1, size)
-    keys = docs(s, d).where("lang is not null").select("doc_id", "lang").withColumn("fold", L.stratified_fold(F.col("doc_id"), "lang", 3))
-    return L.text_vectors(w, vocab, ["doc_id"], size).join(keys, "doc_id")
+    """For each fold, all labelled documents as vectors, with vocabulary and idf
+    of the other folds; empty where a document has none of the terms."""
+    from lexora.sources.tables import write_and_read
+
+    c = docs(s, d).where("lang is not null")
+    keys = write_and_read(c.select("doc_id", "lang").withColumn("fold", L.stratified_fold(F.col("doc_id"), "lang", 3)), "folds")
+    counts = write_and_read(L.term_counts(c.select("doc_id", "text"), ["doc_id"], "text"), "counts")
+    out = []
+    for k in range(3):
+        train = keys.where(F.col("fold") != k)
+        vocab = write_and_read(L.vocabulary(counts.join(train.select("doc_id"), "doc_id", "left_semi"), train.count(), size), "vocab")
+        out.append(L.text_vectors(L.tfidf(counts, vocab, ["doc_id"]), vocab, ["doc_id"], size, keys))
+    return out
 
 
 @register("grid_text")
 def _(s, d):
     f = _text_data(s, d)
-    n = f.count()
+    n = f[0].count()
     models = {"Multinomial NB": L.C.NaiveBayes(smoothing=1.0), "Logistic Regression": L.numeric_models(n)["Logistic Regression"], "Linear SVM": L.numeric_models(n)["Linear SVM"]}
     out = None
     for name, model in models.items():
@@ -733,9 +743,9 @@ def _(s, d):
 @register("grid_combined")
 def _(s, d):
     num = L.with_vector(_grid_data(s, d), GRID, "num").select("doc_id", "num")
-    f = _text_data(s, d).withColumnRenamed("features", "txt").join(num, "doc_id")
-    f = L.VectorAssembler(inputCols=["num", "txt"], outputCol="features").transform(f).select("doc_id", "lang", "fold", "features")
-    model = L.numeric_models(f.count())["Logistic Regression"]
+    both = L.VectorAssembler(inputCols=["num", "txt"], outputCol="features")
+    f = [both.transform(x.withColumnRenamed("features", "txt").join(num, "doc_id")).select("doc_id", "lang", "fold", "features") for x in _text_data(s, d)]
+    model = L.numeric_models(f[0].count())["Logistic Regression"]
     return L.summary_row(L.cross_validate(f, model, "lang", "doc_id", 3), "lang", "combined", "Logistic Regression", 500 + len(GRID))
 
 

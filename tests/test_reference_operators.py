@@ -161,3 +161,15 @@ def test_query_equals_sql(spark, duck, name):
     text = lambda df: sorted(map(tuple, df[cols].astype(str).to_numpy().tolist()))
     assert text(got) == text(want)
     assert L.SEED == 42
+
+
+def test_text_folds_fit_their_own_terms_and_keep_all_documents(spark, tmp_path):
+    from lexora.plans import queries as Q
+
+    rows = [(i, ("en", "fr")[i % 2], f"own{i} shared") for i in range(18)] + [(18, "en", ""), (19, "fr", None)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for k, f in enumerate(Q._text_data(spark, str(tmp_path))):
+        got = {r.doc_id: r for r in f.collect()}
+        assert sorted(got) == list(range(20))
+        for i, r in got.items():  # a held-out document's own term is not known
+            assert r.features.numNonzeros() == (0 if i >= 18 else 1 if r.fold == k else 2)
