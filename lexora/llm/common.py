@@ -1,13 +1,18 @@
 """Pieces that the training-data operators share: table access, durable
-checkpoints, grouped streaming of sorted partitions and connected components."""
+checkpoints, words of Arrow batches, grouped streaming of sorted partitions and
+connected components."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         held = sc._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="lexora-")
         spark.conf.set("spark.checkpoint.dir", at)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -46,6 +53,53 @@ def persist_table(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete tables of ``persist_table`` that nothing reads any more."""
+    for df in tables:
+        hadoop = df.sparkSession._jsc.hadoopConfiguration()
+        for at in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(hadoop).delete(path, True)
+
+
+def release() -> None:
+    """Give freed memory of a Python worker back: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
+def text_slices(texts: pa.Array, limit: int) -> Iterator[pa.Array]:
+    """Consecutive parts of at most ``limit`` bytes, or of one text."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(size, dtype=np.int64)
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, limit + (ends[a - 1] if a else 0), side="right")))
+        yield texts.slice(a, b - a)
+        a = b
+
+
+def word_codes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words of texts: how many each has, a code for each word in order, and
+    the word that each code stands for."""
+    if lower:
+        texts = pc.ascii_lower(texts)
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    coded = lists.flatten().dictionary_encode()
+    codes, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+    count = np.diff(np.asarray(lists.offsets)).astype(np.int64)
+    blank = np.flatnonzero(pc.equal(words, "").to_numpy(zero_copy_only=False))
+    if len(blank):  # before a leading space, or in place of no text
+        real = codes != blank[0]
+        owner = np.repeat(np.arange(len(count)), count)
+        count = np.bincount(owner[real], minlength=len(count))
+        codes = codes[real]
+    return count, codes, words
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -103,7 +157,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         sym = work.union(work.select(F.col("v").alias("u"), F.col("u").alias("v")))
         big = star(sym, True).where("u <> v").distinct()
-        work = persist_table(star(big, False).distinct(), "edges")
+        last, work = work, persist_table(star(big, False).distinct(), "edges")
+        drop_tables(last)
         row = work.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if (row.n, row.s) == seen:
             break

@@ -2,13 +2,13 @@
 
 One frequency table, counted over all documents and bounded by the vocabulary,
 is shared by all blocks. A block holds whole documents (about ``BLOCK_TOKENS``
-ids; a longer document gets a block of its own) and is coded on its own by
-``LANES`` interleaved 64-bit states with 32-bit renormalisation, vectorised
-over the lanes. The container is Parquet, so that any store Spark reads will do:
+ids; a longer document gets a block of its own, with checkpoints inside) and is
+coded on its own by ``LANES`` interleaved 64-bit states with 32-bit
+renormalisation, vectorised over the lanes. The container is Parquet, so that any store Spark reads will do:
 ``table/`` has the frequencies, ``blocks/`` one row per block. A block row is a
 checkpoint: its partition, document ids, token offsets and counts say where it
-starts, so blocks decode in parallel and in any order; a CRC-32 of the ids
-guards each one and a mismatch raises. Documents are laid out in ascending id
+starts, so blocks decode in parallel and in any order; CRC-32 sums of the payload
+and of the ids guard each one and a mismatch raises. Documents are laid out in ascending id
 order by a range partitioning; offsets are relative to the range, and the sums
 of the ranges (one row each) turn them into offsets in the whole output.
 
@@ -28,16 +28,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexora.llm.bpe import spread, vocabulary
-from lexora.llm.common import persist_table, scratch_path, shuffle_width, table
+from lexora.llm.common import drop_tables, persist_table, release, scratch_path, shuffle_width, table, text_slices, word_codes
 
 END_ID = 1
 SCALE = 20
 LANES = 1024
-BLOCK_TOKENS = 128 * LANES
+CHECK_ROWS = 128
+BLOCK_TOKENS = CHECK_ROWS * LANES
 LOW = np.uint64(1 << 31)
 MAGIC = b"RANS"
 
@@ -68,13 +71,17 @@ class Table:
                 break
         return Table(freq)
 
-    def encode(self, ids: np.ndarray) -> bytes:
-        """Header, final states, then the renormalisation words in the order in
-        which the decoder asks for them."""
+    def encode(self, ids: np.ndarray, every: int = CHECK_ROWS) -> bytes:
+        """Header, checkpoints, final states, then the renormalisation words in
+        the order in which the decoder asks for them. A checkpoint after each
+        ``every`` rows of lanes has the states there and the words read by
+        then, so the parts of a long block decode on their own."""
         n = len(ids)
         lanes = min(LANES, max(1, n))
         x = np.full(lanes, LOW, np.uint64)
         words: list[np.ndarray] = []
+        marks: list[tuple[int, bytes]] = []
+        said = 0
         up, low32, scale = np.uint64(63 - SCALE), np.uint64(0xFFFFFFFF), np.uint64(SCALE)
         for a in range((n - 1) // lanes * lanes, -1, -lanes) if n else ():
             row = ids[a : a + lanes]
@@ -82,20 +89,36 @@ class Table:
             f, c, v = self.freq[row], self.cum[row], x[:m]
             over = (v >> up) >= f
             words.append((v[over] & low32).astype(np.uint32))
+            said += len(words[-1])
             v = np.where(over, v >> np.uint64(32), v)
             q, r = np.divmod(v, f)
             x[:m] = (q << scale) + r + c
+            if a and a // lanes % every == 0:
+                marks.append((said, x.astype("<u8").tobytes()))
         body = np.concatenate(words[::-1]) if words else np.zeros(0, np.uint32)
-        return MAGIC + struct.pack("<III", n, lanes, len(body)) + x.astype("<u8").tobytes() + body.astype("<u4").tobytes()
+        held = b"".join(struct.pack("<Q", len(body) - w) + states for w, states in reversed(marks))
+        return MAGIC + struct.pack("<QIIII", n, lanes, len(body), len(marks), every) + held + x.astype("<u8").tobytes() + body.astype("<u4").tobytes()
 
-    def decode(self, data: bytes) -> np.ndarray:
+    @staticmethod
+    def checkpoints(data: bytes) -> int:
+        """Parts of a block that decode on their own."""
+        return struct.unpack_from("<QIIII", data, 4)[3] + 1
+
+    def decode(self, data: bytes, part: int | None = None) -> np.ndarray:
+        """The ids of a block, or of one of its parts."""
         if data[:4] != MAGIC:
             raise ValueError("not a block of this format")
-        n, lanes, k = struct.unpack_from("<III", data, 4)
-        x = np.frombuffer(data, "<u8", lanes, 16).copy()
-        body = np.frombuffer(data, "<u4", k, 16 + 8 * lanes).astype(np.uint64)
+        n, lanes, k, marks, every = struct.unpack_from("<QIIII", data, 4)
+        begin = 28 + marks * (8 + 8 * lanes)
+        body = np.frombuffer(data, "<u4", k, begin + 8 * lanes).astype(np.uint64)
+        x, at = np.frombuffer(data, "<u8", lanes, begin).copy(), 0
+        if part:
+            mark = 28 + (part - 1) * (8 + 8 * lanes)
+            at, x = struct.unpack_from("<Q", data, mark)[0], np.frombuffer(data, "<u8", lanes, mark + 8).copy()
+        if part is not None:
+            body, at, n = body[at:], 0, min(n - part * every * lanes, every * lanes)
         out = np.empty(n, np.int32)
-        at, mask, scale = 0, np.uint64((1 << SCALE) - 1), np.uint64(SCALE)
+        mask, scale = np.uint64((1 << SCALE) - 1), np.uint64(SCALE)
         for a in range(0, n, lanes):
             v = x[: min(lanes, n - a)]
             slot = v & mask
@@ -111,58 +134,27 @@ class Table:
 
 #: Characters whose lower case, normal form and class are the same in every
 #: Unicode version; they need no normaliser (\u0130 becomes two characters).
-PLAIN = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u017f]+")
+PLAIN = r"^[\x21-\x7e\x{a1}-\x{12f}\x{131}-\x{17f}]+$"
 #: Fixed pattern of this tokenizer's pre-tokenizer, on plain lower-case text.
 _LETTER, _NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
-PRETOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
+PRETOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^ {_LETTER}{_NUMBER}]+")
 END_OF_WORD = "</w>"
-#: Characters of text that are tokenised together.
-GROUP_CHARS = 2_000_000
-
-
-class Spans:
-    """Id sequences of keys in one growing array."""
-
-    def __init__(self) -> None:
-        self.at: dict = {}
-        self.flat = np.zeros(1 << 16, np.int32)
-        self.start = np.zeros(1 << 14, np.int64)
-        self.count = np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def add(self, keys: list, ids: np.ndarray, counts: np.ndarray) -> None:
-        i, k = len(self.at), len(keys)
-        while i + k > len(self.start):
-            self.start, self.count = np.resize(self.start, 2 * len(self.start)), np.resize(self.count, 2 * len(self.count))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.start[i : i + k] = self.used + np.cumsum(counts) - counts
-        self.count[i : i + k] = counts
-        self.used += len(ids)
-        self.at.update(zip(keys, range(i, i + k)))
+#: Bytes of text that are tokenised together.
+GROUP_BYTES = 16_000_000
 
-    def take(self, keys: list) -> tuple[np.ndarray, np.ndarray]:
-        """Concatenated ids of known keys, and how many each key has."""
-        e = np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))
-        return self.flat[spread(self.start[e], self.count[e])], self.count[e]
 
-    def trim(self, size: int) -> None:
-        """Beyond ``size`` keys, keep the first fifth: mostly the frequent ones."""
-        if len(self.at) > size:
-            keep = size // 5
-            self.at = {k: i for k, i in self.at.items() if i < keep}
-            self.used = int(self.start[keep])
+def _sizes(items: list) -> np.ndarray:
+    return np.fromiter(map(len, items), np.int64, len(items))
 
 
 class WordTokenizer:
-    """The library's encoder with bounded caches of white-space-free chunks;
+    """The library's encoder with a bounded cache of white-space-free chunks;
     white space is dropped by this kind of tokenizer and no token crosses it.
 
-    A chunk of plain characters is cut into its pre-tokens here, and each new
-    pre-token goes once through the library's model; all other chunks, and
-    those that may hold a special token, go through the library whole. The
-    model marks the last id of each pre-token as a word end, so many
+    Chunks of plain characters are cut into their pre-tokens here, and each
+    distinct new pre-token goes once through the library's model; all other
+    chunks, and those that may hold a special token, go through the library
+    whole. The model marks the last id of each pre-token as a word end, so many
     pre-tokens share one call."""
 
     def __init__(self, path: str, cache_size: int = 400_000):
@@ -181,57 +173,84 @@ class WordTokenizer:
         self.ends = np.zeros(self.vocab_size, bool)
         self.ends[[i for t, i in self.tok.get_vocab(with_added_tokens=False).items() if t.endswith(END_OF_WORD)]] = True
         self.cache_size = cache_size
-        self.chunks, self.pieces = Spans(), Spans()
+        self.reset()
 
-    def _learn_pieces(self, new: list[str], step: int = 256) -> None:
-        for a in range(0, len(new), step):
-            part = new[a : a + step]
-            ids = np.array(self.words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int32)
-            last = np.flatnonzero(self.ends[ids])
+    def reset(self) -> None:
+        """Forget all chunks."""
+        self.at: dict[str, int] = {}
+        self.flat = np.zeros(1 << 16, np.int32)
+        self.start = np.zeros(1 << 14, np.int64)
+        self.count = np.zeros(1 << 14, np.int64)
+        self.used = 0
+
+    def _add(self, keys: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        i, k = len(self.at), len(keys)
+        while i + k > len(self.start):
+            self.start, self.count = np.resize(self.start, 2 * len(self.start)), np.resize(self.count, 2 * len(self.count))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[i : i + k] = self.used + np.cumsum(counts) - counts
+        self.count[i : i + k] = counts
+        self.used += len(ids)
+        self.at.update(zip(keys, range(i, i + k)))
+
+    def _trim(self) -> None:
+        """Keep the first fifth of the cache: mostly the frequent chunks."""
+        keep = self.cache_size // 5
+        self.at = {k: i for k, i in self.at.items() if i < keep}
+        self.used = int(self.start[keep])
+
+    def _model(self, pieces: list[str], step: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens, end to end, and how many each has."""
+        ids, counts = [], []
+        for a in range(0, len(pieces), step):
+            part = pieces[a : a + step]
+            ids.append(np.array(self.words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int32))
+            last = np.flatnonzero(self.ends[ids[-1]])
             if len(last) != len(part):
                 raise ValueError("this vocabulary does not mark word ends")
-            self.pieces.add(part, ids, np.diff(last, prepend=-1))
+            counts.append(np.diff(last, prepend=-1))
+        return np.concatenate(ids), np.concatenate(counts)
 
-    def _learn(self, new: set[bytes]) -> None:
-        raw = list(new)
-        texts = b" ".join(raw).decode("utf-8", "replace").split(" ")
-        simple = [PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
-        odd = [t for t, ok in zip(texts, simple) if not ok]
+    def _learn(self, new: list[str]) -> None:
+        words = pa.array(new, pa.string())
+        simple = pc.and_(pc.match_substring_regex(words, PLAIN), pc.invert(pc.match_substring(words, "<|")))
+        odd = words.filter(pc.invert(simple)).to_pylist()
         if odd:
             seqs = [e.ids for e in self.tok.encode_batch_fast(odd, add_special_tokens=False)]
-            keys = [w for w, ok in zip(raw, simple) if not ok]
-            self.chunks.add(keys, np.fromiter((i for s in seqs for i in s), np.int32), np.fromiter(map(len, seqs), np.int64, len(seqs)))
-        if len(odd) < len(texts):
-            plain = [w for w, ok in zip(raw, simple) if ok]
-            lowered = " ".join(t for t, ok in zip(texts, simple) if ok).lower().split(" ")
-            parts = list(map(PRETOKEN.findall, lowered))
-            flat = list(itertools.chain.from_iterable(parts))
-            self.pieces.trim(self.cache_size)
-            self._learn_pieces(list(set(flat).difference(self.pieces.at)))
-            ids, sizes = self.pieces.take(flat)
-            firsts = np.cumsum([0, *map(len, parts)])[:-1]
-            self.chunks.add(plain, ids, np.add.reduceat(sizes, firsts))
-
-    def encode_many(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """Ids of each whole text; new chunks of several texts are learned in
-        one call."""
-        a = 0
-        while a < len(texts):
-            held, size = [], 0
-            while a < len(texts) and (not held or size + len(texts[a] or "") <= GROUP_CHARS):
-                size += len(texts[a] or "")
-                held.append((texts[a] or "").encode("utf-8", "surrogatepass").split())
-                a += 1
-            if new := set(itertools.chain.from_iterable(held)).difference(self.chunks.at):
-                if len(self.chunks.at) > self.cache_size:
-                    self.chunks.trim(self.cache_size)
-                    new = set(itertools.chain.from_iterable(held)).difference(self.chunks.at)
+            self._add(odd, np.fromiter(itertools.chain.from_iterable(seqs), np.int32), _sizes(seqs))
+        if len(odd) < len(new):
+            plain = words.filter(simple).to_pylist()
+            said = PRETOKEN.findall(" ".join(plain).lower())
+            coded = pa.array(said, pa.string()).dictionary_encode()
+            ids, counts = self._model(coded.dictionary.to_pylist())
+            which = coded.indices.to_numpy(zero_copy_only=False)
+            begin = np.cumsum(counts) - counts
+            upto = np.concatenate([[0], np.cumsum(counts[which])])
+            # pre-tokens fill their chunks without gaps
+            last = np.searchsorted(np.cumsum(_sizes(said)), np.cumsum(_sizes(plain)), side="right")
+            self._add(plain, ids[spread(begin[which], counts[which])], np.diff(upto[last], prepend=0))
+
+    def encode_many(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each whole text. Each distinct chunk of some texts is looked
+        up once, and the new ones are learned in one call."""
+        for part in text_slices(texts.cast(pa.string()), GROUP_BYTES):
+            count, codes, words = word_codes(part)
+            distinct = words.to_pylist()
+            if new := [w for w in distinct if w and w not in self.at]:
+                if len(self.at) > self.cache_size:
+                    self._trim()
+                    new = [w for w in distinct if w and w not in self.at]
                 self._learn(new)
-            for chunks in held:
-                yield self.chunks.take(chunks)[0]
+            entry = np.fromiter((self.at.get(w, 0) for w in distinct), np.int64, len(distinct))[codes]
+            upto = np.concatenate([[0], np.cumsum(count)])
+            for a, b in zip(upto, upto[1:]):
+                e = entry[a:b]
+                yield self.flat[spread(self.start[e], self.count[e])]
 
     def encode(self, text: str | None) -> np.ndarray:
-        return next(self.encode_many([text]))
+        return next(self.encode_many(pa.array([text], pa.string())))
 
 
 _LOADED: dict[str, WordTokenizer] = {}
@@ -243,6 +262,10 @@ def load(path: str) -> WordTokenizer:
     return _LOADED[path]
 
 
+def _kind(vocab_size: int) -> str:
+    return "<u2" if vocab_size <= 65536 else "<u4"
+
+
 def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -255,21 +278,26 @@ def write_tokens(docs: DataFrame, path: str, vocab_path: str, id_col: str = "doc
     keyed = src.withColumn("tie", F.xxhash64("text"))
     ranged = keyed.repartitionByRange(shuffle_width(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").withColumn("part", F.spark_partition_id())
 
-    def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, done = load(vocab_path), 0
-        for b in batches:
-            rows = []
-            for part, doc, seq in zip(b["part"], b["doc_id"], tok.encode_many(b["text"].tolist())):
-                ids = np.append(seq, END_ID)
-                rows.append((part, None if pd.isna(doc) else int(doc), done, ids.astype("<u2" if tok.vocab_size <= 65536 else "<u4").tobytes()))
-                done += len(ids)
-            yield pd.DataFrame(rows, columns=["part", "doc_id", "rel", "ids"]).astype({"doc_id": "Int64"})
-
-    ids = persist_table(ranged.select("part", "doc_id", "text").mapInPandas(tokenise, "part int, doc_id long, rel long, ids binary"), "ids")
+        kind = _kind(tok.vocab_size)
+        try:
+            for b in batches:
+                data, size = [], []
+                for seq in tok.encode_many(b.column(2)):
+                    data.append(np.append(seq, END_ID).astype(kind).tobytes())
+                    size.append(len(seq) + 1)
+                rel = done + np.cumsum(size, dtype=np.int64) - np.array(size, np.int64)
+                done += sum(size)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rel, pa.int64()), pa.array(data, pa.binary())], ["part", "doc_id", "rel", "ids"])
+        finally:
+            release()
+
+    ids = persist_table(ranged.select("part", "doc_id", "text").mapInArrow(tokenise, "part int, doc_id long, rel long, ids binary"), "ids")
     from tokenizers import Tokenizer
 
     size = Tokenizer.from_file(vocab_path).get_vocab_size(with_added_tokens=True)
-    kind = "<u2" if size <= 65536 else "<u4"
+    kind = _kind(size)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(size, np.int64)
@@ -297,7 +325,8 @@ def write_tokens(docs: DataFrame, path: str, vocab_path: str, id_col: str = "doc
             known = np.array([h[1] is not None and not pd.isna(h[1]) for h in held], np.uint8)
             doc = np.array([int(h[1]) if k else 0 for h, k in zip(held, known)], "<i8")
             rel = np.array([h[2] for h in held], "<i8")
-            return pd.DataFrame([(int(held[0][0]), int(rel[0]), len(held), len(seq), doc.tobytes(), known.tobytes(), rel.tobytes(), sizes.tobytes(), _crc(seq), tab.encode(seq))], columns=COLUMNS)
+            payload = tab.encode(seq)
+            return pd.DataFrame([(int(held[0][0]), int(rel[0]), len(held), len(seq), doc.tobytes(), known.tobytes(), rel.tobytes(), sizes.tobytes(), _crc(seq), zlib.crc32(payload), payload)], columns=COLUMNS)
 
         for b in batches:
             for row in b[["part", "doc_id", "rel", "ids"]].itertuples(index=False, name=None):
@@ -313,10 +342,11 @@ def write_tokens(docs: DataFrame, path: str, vocab_path: str, id_col: str = "doc
     ids.mapInPandas(pack, BLOCK_SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
     ends = ids.groupBy("part").agg(F.max(F.col("rel") + F.octet_length("ids") / np.dtype(kind).itemsize).cast("long").alias("n"))
     ends.write.parquet(f"{path}/parts")
+    drop_tables(ids)
 
 
-COLUMNS = ["part", "first", "n_docs", "n_tokens", "doc_ids", "known", "rel", "sizes", "crc32", "payload"]
-BLOCK_SCHEMA = "part int, first long, n_docs int, n_tokens long, doc_ids binary, known binary, rel binary, sizes binary, crc32 long, payload binary"
+COLUMNS = ["part", "first", "n_docs", "n_tokens", "doc_ids", "known", "rel", "sizes", "crc32", "payload_crc32", "payload"]
+BLOCK_SCHEMA = "part int, first long, n_docs int, n_tokens long, doc_ids binary, known binary, rel binary, sizes binary, crc32 long, payload_crc32 long, payload binary"
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -327,6 +357,8 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
         tab = Table(freq)
         for b in batches:
             for r in b.itertuples(index=False):
+                if zlib.crc32(r.payload) != r.payload_crc32:
+                    raise ValueError(f"block {r.part}:{r.first} is damaged")
                 seq = tab.decode(r.payload)
                 if len(seq) != r.n_tokens or _crc(seq) != r.crc32:
                     raise ValueError(f"block {r.part}:{r.first} is damaged")

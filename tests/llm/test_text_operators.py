@@ -8,6 +8,8 @@ import random
 import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -189,8 +191,13 @@ def test_bpe_equals_library_and_round_trips(spark):
         assert got[i].decoded_sha256 == hashlib.sha256(back.encode()).hexdigest()
     small = bpe.Bpe(path, cache_size=50)  # a cache that keeps overflowing
     for t in texts[:300]:
-        small.prepare([t])
         assert small.encode(t)[0].tolist() == lib.encode(t or "", add_special_tokens=False).ids
+    words = ["aaaaaaaaa", " thethethe", "überraschung", "日本語のテキスト", "x", "!!!!====!!!!"] + ["ab" * k for k in range(1, 9)]
+    base = [small.base[list(w.encode())] for w in words]
+    ids, counts = small.merge_all(np.concatenate(base), np.array([len(b) for b in base]))
+    assert np.split(ids, np.cumsum(counts)[:-1])[0].tolist() == small.exact(words[0].encode())
+    assert ids.tolist() == [i for w in words for i in small.exact(w.encode())]
+    assert bpe.encode_decode(docs_of(spark, texts).limit(0), path).count() == 0
 
 
 def test_token_file_round_trip(spark, tmp_path):
@@ -217,15 +224,16 @@ def test_word_tokenizer_equals_library_with_small_caches():
     marks = "aAeEsSéÉ'’0²½<|>/w_ \t\n\x0b\xa0\u0301İıſŉµªº×÷¼.-#&ΣК語👍"
     texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
     texts += ODD + ["<|endoftext|> x<|startoftext|>y <|EndOfText|>", "it's I'LL 'Re’s x²y", "H\u0331 İstanbul </w> a</w>b"]
-    for ids, t in zip(tokens.WordTokenizer(path, cache_size=100).encode_many(texts), texts, strict=True):
+    for ids, t in zip(tokens.WordTokenizer(path, cache_size=100).encode_many(pa.array(texts)), texts, strict=True):
         assert ids.tolist() == lib.encode(t or "", add_special_tokens=False).ids, t
 
 
 def test_damaged_block_is_found():
-    import numpy as np
-
     ids = np.arange(5000) % 97
     tab = tokens.Table.from_counts(np.bincount(ids))
+    parted = tab.encode(ids, every=2)
+    assert tab.checkpoints(parted) == 3
+    assert (np.concatenate([tab.decode(parted, k) for k in range(3)]) == ids).all() and (tab.decode(parted) == ids).all()
     data = bytearray(tab.encode(ids))
     assert (tab.decode(bytes(data)) == ids).all()
     data[-3] ^= 5
