@@ -310,41 +310,48 @@ class Bpe:
         return pool[spread(begin, count)], count
 
     def _learn(self, new: list[str]) -> None:
+        """Append the encodings of chunks to the arrays, in order."""
         # in a chunk of white space and then text, pre-tokens are the same
-        # when such chunks stand end to end
-        joint = [c for c in new if c[0] in SPACE and c[-1] not in SPACE]
-        alone = [c for c in new if not (c[0] in SPACE and c[-1] not in SPACE)]
-        parts = list(map(PRETOKEN.findall, alone))
-        said = PRETOKEN.findall("".join(joint))
-        ends = np.cumsum(np.fromiter(map(len, said), np.int64, len(said)))
-        upto = np.searchsorted(ends, np.cumsum(np.fromiter(map(len, joint), np.int64, len(joint))), side="right")
-        pieces = np.concatenate([np.diff(upto, prepend=0), np.fromiter(map(len, parts), np.int64, len(parts))]).astype(np.int64)
-        coded = pa.array(itertools.chain(said, itertools.chain.from_iterable(parts)), pa.string()).dictionary_encode()
+        # when such chunks stand end to end; others get a call of their own
+        whole = [c[0] in SPACE and c[-1] not in SPACE for c in new]
+        said: list[str] = []
+        size: list[int] = []
+        for joint, run in itertools.groupby(range(len(new)), whole.__getitem__):
+            chunks = [new[i] for i in run]
+            if joint:
+                pieces = PRETOKEN.findall("".join(chunks))
+                ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+                upto = np.searchsorted(ends, np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks))), side="right")
+                said += pieces
+                size += np.diff(upto, prepend=0).tolist()
+            else:
+                for c in chunks:
+                    pieces = PRETOKEN.findall(c)
+                    said += pieces
+                    size.append(len(pieces))
+        coded = pa.array(said, pa.string()).dictionary_encode()
         flat, count = self.encode_words(coded.dictionary)
         begin, which = np.cumsum(count) - count, coded.indices.to_numpy(zero_copy_only=False)
         ids = flat[spread(begin[which], count[which])]
         upto = np.concatenate([[0], np.cumsum(count[which])])
-        last = np.cumsum(pieces)
-        size = upto[last] - upto[last - pieces]
+        last = np.cumsum(size)
+        n = upto[last] - upto[last - size]
         i, k = len(self.said), len(new)
         while i + k > len(self.start):
             self.start, self.count = np.resize(self.start, 2 * len(self.start)), np.resize(self.count, 2 * len(self.count))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.start[i : i + k], self.count[i : i + k] = self.used + np.cumsum(size) - size, size
+        self.start[i : i + k], self.count[i : i + k] = self.used + np.cumsum(n) - n, n
         self.used += len(ids)
-        self.cache.update(zip(itertools.chain(joint, alone), range(i, i + k)))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), self.decimal.take(pa.array(ids)))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), self.decimal.take(pa.array(ids)))
         self.said.extend(pc.binary_join(lists, ",").to_pylist())
 
-    def _trim(self) -> None:
-        """Keep the first fifth of the cache: early entries are mostly the
-        frequent ones."""
-        keep = max(self.cache_size // 5, len(self.special))
-        self.cache = {c: i for c, i in self.cache.items() if i < keep}
-        del self.said[keep:]
-        self.used = int(self.start[keep])
+    def _cut(self, keep: int) -> None:
+        """Keep the first entries of the arrays."""
+        if keep < len(self.said):
+            del self.said[keep:]
+            self.used = int(self.start[keep])
 
     def _chunks(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """Chunks of texts, and how many each text has. Where all white space
@@ -379,21 +386,33 @@ class Bpe:
 
     def encode_many(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, str]]:
         """For each whole text its ids, and the same in decimals joined by
-        commas. Each distinct chunk of some texts is looked up once."""
+        commas. Each distinct chunk of some texts is looked up once; those that
+        occur once are not remembered."""
         for part in text_slices(pc.fill_null(texts.cast(pa.string()), ""), GROUP_BYTES):
             chunks, counts = self._chunks(part)
             coded = chunks.dictionary_encode()
-            distinct = coded.dictionary.to_pylist()
-            if new := [c for c in distinct if c not in self.cache]:
-                if len(self.cache) > self.cache_size:
-                    self._trim()
-                    new = [c for c in distinct if c not in self.cache]
-                self._learn(new)
-            entry = np.fromiter(map(self.cache.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy(zero_copy_only=False)]
+            distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+            if len(self.cache) > self.cache_size:
+                self._cut(max(self.cache_size // 5, len(self.special)))  # early ones are mostly the frequent ones
+                self.cache = {c: i for c, i in self.cache.items() if i < len(self.said)}
+            entry = np.fromiter(map(self.cache.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
+            new = np.flatnonzero(entry < 0)
+            stay = len(self.said)
+            if len(new):
+                often = np.bincount(codes, minlength=len(distinct))[new] > 1
+                new = np.concatenate([new[often], new[~often]])
+                entry[new] = stay + np.arange(len(new))
+                names = list(map(distinct.__getitem__, new.tolist()))
+                self._learn(names)
+                kept = int(often.sum())
+                self.cache.update(zip(names[:kept], range(stay, stay + kept)))
+                stay += kept
+            entry = entry[codes]
             upto = np.concatenate([[0], np.cumsum(counts)])
             for a, b in zip(upto, upto[1:]):
                 e = entry[a:b]
                 yield self.flat[spread(self.start[e], self.count[e])], ",".join(map(self.said.__getitem__, e.tolist()))
+            self._cut(stay)
 
     def encode(self, text: str | None) -> tuple[np.ndarray, str]:
         return next(self.encode_many(pa.array([text], pa.string())))

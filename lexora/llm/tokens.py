@@ -27,7 +27,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,7 +37,7 @@ from lexora.llm.common import drop_tables, persist_table, release, scratch_path,
 
 END_ID = 1
 SCALE = 20
-LANES = 1024
+LANES = 2048
 CHECK_ROWS = 128
 BLOCK_TOKENS = CHECK_ROWS * LANES
 LOW = np.uint64(1 << 31)
@@ -177,14 +176,14 @@ class WordTokenizer:
 
     def reset(self) -> None:
         """Forget all chunks."""
-        self.at: dict[str, int] = {}
+        self.at: dict[str, int] = {"": 0}
         self.flat = np.zeros(1 << 16, np.int32)
         self.start = np.zeros(1 << 14, np.int64)
         self.count = np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.held, self.used = 1, 0  # entries and ids in the arrays
 
-    def _add(self, keys: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        i, k = len(self.at), len(keys)
+    def _add(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        i, k = self.held, len(counts)
         while i + k > len(self.start):
             self.start, self.count = np.resize(self.start, 2 * len(self.start)), np.resize(self.count, 2 * len(self.count))
         while self.used + len(ids) > len(self.flat):
@@ -192,14 +191,12 @@ class WordTokenizer:
         self.flat[self.used : self.used + len(ids)] = ids
         self.start[i : i + k] = self.used + np.cumsum(counts) - counts
         self.count[i : i + k] = counts
-        self.used += len(ids)
-        self.at.update(zip(keys, range(i, i + k)))
+        self.held, self.used = i + k, self.used + len(ids)
 
-    def _trim(self) -> None:
-        """Keep the first fifth of the cache: mostly the frequent chunks."""
-        keep = self.cache_size // 5
-        self.at = {k: i for k, i in self.at.items() if i < keep}
-        self.used = int(self.start[keep])
+    def _cut(self, keep: int) -> None:
+        """Keep the first entries of the arrays."""
+        if keep < self.held:
+            self.held, self.used = keep, int(self.start[keep])
 
     def _model(self, pieces: list[str], step: int = 256) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pre-tokens, end to end, and how many each has."""
@@ -213,41 +210,58 @@ class WordTokenizer:
             counts.append(np.diff(last, prepend=-1))
         return np.concatenate(ids), np.concatenate(counts)
 
-    def _learn(self, new: list[str]) -> None:
-        words = pa.array(new, pa.string())
+    def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, end to end, and how many each has."""
         simple = pc.and_(pc.match_substring_regex(words, PLAIN), pc.invert(pc.match_substring(words, "<|")))
-        odd = words.filter(pc.invert(simple)).to_pylist()
-        if odd:
-            seqs = [e.ids for e in self.tok.encode_batch_fast(odd, add_special_tokens=False)]
-            self._add(odd, np.fromiter(itertools.chain.from_iterable(seqs), np.int32), _sizes(seqs))
-        if len(odd) < len(new):
-            plain = words.filter(simple).to_pylist()
-            said = PRETOKEN.findall(" ".join(plain).lower())
+        here = simple.to_numpy(zero_copy_only=False)
+        begin, counts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        pool = [np.zeros(0, np.int32)]
+        if not here.all():
+            seqs = [e.ids for e in self.tok.encode_batch_fast(words.filter(pc.invert(simple)).to_pylist(), add_special_tokens=False)]
+            pool.append(np.fromiter(itertools.chain.from_iterable(seqs), np.int32))
+            counts[~here] = _sizes(seqs)
+            begin[~here] = np.cumsum(counts[~here]) - counts[~here]
+        if here.any():
+            plain = words.filter(simple)
+            said = PRETOKEN.findall(" ".join(plain.to_pylist()).lower())
             coded = pa.array(said, pa.string()).dictionary_encode()
-            ids, counts = self._model(coded.dictionary.to_pylist())
+            ids, sizes = self._model(coded.dictionary.to_pylist())
             which = coded.indices.to_numpy(zero_copy_only=False)
-            begin = np.cumsum(counts) - counts
-            upto = np.concatenate([[0], np.cumsum(counts[which])])
+            upto = np.concatenate([[0], np.cumsum(sizes[which])])
             # pre-tokens fill their chunks without gaps
-            last = np.searchsorted(np.cumsum(_sizes(said)), np.cumsum(_sizes(plain)), side="right")
-            self._add(plain, ids[spread(begin[which], counts[which])], np.diff(upto[last], prepend=0))
+            last = np.searchsorted(np.cumsum(_sizes(said)), np.cumsum(pc.utf8_length(plain).to_numpy(), dtype=np.int64), side="right")
+            counts[here] = np.diff(upto[last], prepend=0)
+            begin[here] = sum(map(len, pool)) + upto[last] - counts[here]
+            pool.append(ids[spread((np.cumsum(sizes) - sizes)[which], sizes[which])])
+        return np.concatenate(pool)[spread(begin, counts)], counts
 
     def encode_many(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each whole text. Each distinct chunk of some texts is looked
-        up once, and the new ones are learned in one call."""
+        up once, and the new ones are encoded in one call; those that occur
+        once are not remembered."""
         for part in text_slices(texts.cast(pa.string()), GROUP_BYTES):
             count, codes, words = word_codes(part)
             distinct = words.to_pylist()
-            if new := [w for w in distinct if w and w not in self.at]:
-                if len(self.at) > self.cache_size:
-                    self._trim()
-                    new = [w for w in distinct if w and w not in self.at]
-                self._learn(new)
-            entry = np.fromiter((self.at.get(w, 0) for w in distinct), np.int64, len(distinct))[codes]
+            if len(self.at) > self.cache_size:
+                self._cut(self.cache_size // 5)  # early ones are mostly the frequent ones
+                self.at = {k: i for k, i in self.at.items() if i < self.held}
+            entry = np.fromiter(map(self.at.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
+            new = np.flatnonzero(entry < 0)
+            stay = self.held
+            if len(new):
+                often = np.bincount(codes, minlength=len(distinct))[new] > 1
+                new = np.concatenate([new[often], new[~often]])
+                self._add(*self._encode_words(words.take(pa.array(new))))
+                entry[new] = stay + np.arange(len(new))
+                kept = new[: int(often.sum())].tolist()
+                self.at.update(zip(map(distinct.__getitem__, kept), range(stay, stay + len(kept))))
+                stay += len(kept)
+            entry = entry[codes]
             upto = np.concatenate([[0], np.cumsum(count)])
             for a, b in zip(upto, upto[1:]):
                 e = entry[a:b]
                 yield self.flat[spread(self.start[e], self.count[e])]
+            self._cut(stay)
 
     def encode(self, text: str | None) -> np.ndarray:
         return next(self.encode_many(pa.array([text], pa.string())))
@@ -283,63 +297,67 @@ def write_tokens(docs: DataFrame, path: str, vocab_path: str, id_col: str = "doc
         kind = _kind(tok.vocab_size)
         try:
             for b in batches:
-                data, size = [], []
+                data, total = [], np.zeros(tok.vocab_size, np.int64)
                 for seq in tok.encode_many(b.column(2)):
-                    data.append(np.append(seq, END_ID).astype(kind).tobytes())
-                    size.append(len(seq) + 1)
-                rel = done + np.cumsum(size, dtype=np.int64) - np.array(size, np.int64)
-                done += sum(size)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rel, pa.int64()), pa.array(data, pa.binary())], ["part", "doc_id", "rel", "ids"])
+                    ids = np.append(seq, END_ID)
+                    if len(ids) > tok.vocab_size // 8:
+                        total += np.bincount(ids, minlength=tok.vocab_size)
+                    else:
+                        np.add.at(total, ids, 1)
+                    data.append(ids.astype(kind).tobytes())
+                ends = done + np.cumsum(np.array(list(map(len, data)), np.int64) // np.dtype(kind).itemsize)
+                rel = np.concatenate([[done], ends[:-1]])[: len(data)]
+                done = int(ends[-1]) if len(ends) else done
+                at = np.flatnonzero(total)
+                said = [np.concatenate([at, total[at]]).tobytes(), *[None] * (len(data) - 1)][: len(data)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rel, pa.int64()), pa.array(data, pa.binary()), pa.array(said, pa.binary())], ["part", "doc_id", "rel", "ids", "counts"])
         finally:
             release()
 
-    ids = persist_table(ranged.select("part", "doc_id", "text").mapInArrow(tokenise, "part int, doc_id long, rel long, ids binary"), "ids")
+    ids = persist_table(ranged.select("part", "doc_id", "text").mapInArrow(tokenise, "part int, doc_id long, rel long, ids binary, counts binary"), "ids")
     from tokenizers import Tokenizer
 
     size = Tokenizer.from_file(vocab_path).get_vocab_size(with_added_tokens=True)
     kind = _kind(size)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for b in batches:
-            for data in b["ids"]:
-                total += np.bincount(np.frombuffer(data, kind), minlength=size) if len(data) > size else 0
-                if len(data) <= size:
-                    np.add.at(total, np.frombuffer(data, kind), 1)
+            for held in b.column(0).to_pylist():
+                at, n = np.frombuffer(held, np.int64).reshape(2, -1)
+                total[at] += n
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"symbol": at.astype(np.int64), "n": total[at]})
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["symbol", "n"])
 
-    seen = ids.select("ids").mapInPandas(count, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
+    # each batch counted its ids; one row of it has the counts
+    counted = ids.where("counts is not null").select("counts").mapInArrow(count, "symbol long, n long")
+    seen = counted.groupBy("symbol").agg(F.sum("n").alias("n")).toPandas()  # at most the vocabulary
     counts = np.zeros(size, np.int64)
-    for r in seen:
-        counts[r.symbol] = r.n
+    counts[seen["symbol"].to_numpy(np.int64)] = seen["n"].to_numpy(np.int64)
     freq = Table.from_counts(counts).freq.astype("<u4")
     spark.createDataFrame([(SCALE, bytearray(freq.tobytes()))], "scale int, freq binary").coalesce(1).write.parquet(f"{path}/table")
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tab, held, filled = Table(freq), [], 0
-
-        def block() -> pd.DataFrame:
-            seq = np.concatenate([np.frombuffer(h[3], kind) for h in held]).astype(np.int32)
-            sizes = np.array([len(h[3]) // np.dtype(kind).itemsize for h in held], "<i8")
-            known = np.array([h[1] is not None and not pd.isna(h[1]) for h in held], np.uint8)
-            doc = np.array([int(h[1]) if k else 0 for h, k in zip(held, known)], "<i8")
-            rel = np.array([h[2] for h in held], "<i8")
-            payload = tab.encode(seq)
-            return pd.DataFrame([(int(held[0][0]), int(rel[0]), len(held), len(seq), doc.tobytes(), known.tobytes(), rel.tobytes(), sizes.tobytes(), _crc(seq), zlib.crc32(payload), payload)], columns=COLUMNS)
-
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tab = Table(freq)
         for b in batches:
-            for row in b[["part", "doc_id", "rel", "ids"]].itertuples(index=False, name=None):
-                size_row = len(row[3]) // np.dtype(kind).itemsize
-                if held and (row[0] != held[0][0] or filled + size_row > BLOCK_TOKENS):
-                    yield block()
-                    held, filled = [], 0
-                held.append(row)
-                filled += size_row
-        if held:
-            yield block()
-
-    ids.mapInPandas(pack, BLOCK_SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
+            data = b.column(3).cast(pa.large_binary())
+            offset = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1] // np.dtype(kind).itemsize
+            flat = np.frombuffer(data.buffers()[2] or b"", kind)
+            part, rel = b.column(0).to_numpy(), b.column(2).to_numpy()
+            known = b.column(1).is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
+            doc = pc.fill_null(b.column(1), 0).to_numpy()
+            stop = np.append(np.flatnonzero(part[1:] != part[:-1]) + 1, len(part))  # ranges end here
+            a = 0
+            while a < len(part):
+                z = max(a + 1, int(np.searchsorted(offset, offset[a] + BLOCK_TOKENS, side="right")) - 1)
+                z = min(z, int(stop[np.searchsorted(stop, a, side="right")]))
+                seq = flat[offset[a] : offset[z]].astype(np.int32)
+                payload = tab.encode(seq)
+                row = (int(part[a]), int(rel[a]), z - a, len(seq), doc[a:z].astype("<i8").tobytes(), known[a:z].tobytes(), rel[a:z].astype("<i8").tobytes(), np.diff(offset[a : z + 1]).astype("<i8").tobytes(), _crc(seq), zlib.crc32(payload), payload)
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, BLOCK_TYPES)], COLUMNS)
+                a = z
+
+    ids.select("part", "doc_id", "rel", "ids").mapInArrow(pack, BLOCK_SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
     ends = ids.groupBy("part").agg(F.max(F.col("rel") + F.octet_length("ids") / np.dtype(kind).itemsize).cast("long").alias("n"))
     ends.write.parquet(f"{path}/parts")
     drop_tables(ids)
@@ -347,32 +365,34 @@ def write_tokens(docs: DataFrame, path: str, vocab_path: str, id_col: str = "doc
 
 COLUMNS = ["part", "first", "n_docs", "n_tokens", "doc_ids", "known", "rel", "sizes", "crc32", "payload_crc32", "payload"]
 BLOCK_SCHEMA = "part int, first long, n_docs int, n_tokens long, doc_ids binary, known binary, rel binary, sizes binary, crc32 long, payload_crc32 long, payload binary"
+BLOCK_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.int64(), pa.int64(), pa.binary()]
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` per document, and its ids."""
     freq = np.frombuffer(bytes(spark.read.parquet(f"{path}/table").first().freq), "<u4")
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tab = Table(freq)
         for b in batches:
-            for r in b.itertuples(index=False):
-                if zlib.crc32(r.payload) != r.payload_crc32:
-                    raise ValueError(f"block {r.part}:{r.first} is damaged")
-                seq = tab.decode(r.payload)
-                if len(seq) != r.n_tokens or _crc(seq) != r.crc32:
-                    raise ValueError(f"block {r.part}:{r.first} is damaged")
-                sizes, rel = np.frombuffer(r.sizes, "<i8"), np.frombuffer(r.rel, "<i8")
-                ends = np.cumsum(sizes)
-                parts = [seq[e - s : e] for s, e in zip(sizes, ends)]
-                out = pd.DataFrame({"part": r.part, "doc_id": pd.array(np.frombuffer(r.doc_ids, "<i8"), "Int64"), "rel": rel, "n_tokens": sizes, "ids_crc32": [_crc(p) for p in parts]})
-                out.loc[np.frombuffer(r.known, np.uint8) == 0, "doc_id"] = pd.NA
-                if with_ids:
-                    out["ids"] = [p.tolist() for p in parts]
-                yield out
+            for i in range(len(b)):
+                r = {name: b.column(j)[i] for j, name in enumerate(COLUMNS)}
+                view = lambda name, kind: np.frombuffer(r[name].as_buffer(), kind)  # noqa: E731, B023
+                payload = r["payload"].as_buffer().to_pybytes()
+                seq = tab.decode(payload) if zlib.crc32(payload) == r["payload_crc32"].as_py() else np.zeros(0, np.int32)
+                said = seq.astype("<u4").tobytes()
+                if len(seq) != r["n_tokens"].as_py() or zlib.crc32(said) != r["crc32"].as_py():
+                    raise ValueError(f"block {r['part']}:{r['first']} is damaged")
+                sizes = view("sizes", "<i8")
+                upto, whole = np.concatenate([[0], np.cumsum(sizes)]), memoryview(said)
+                crc = [zlib.crc32(whole[4 * x : 4 * y]) for x, y in zip(upto.tolist(), upto[1:].tolist())]
+                doc = pa.array(view("doc_ids", "<i8"), mask=view("known", np.uint8) == 0)
+                part = pa.array(np.full(len(sizes), r["part"].as_py(), np.int32))
+                ids = [pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(seq))] if with_ids else []
+                yield pa.RecordBatch.from_arrays([part, doc, pa.array(view("rel", "<i8")), pa.array(sizes), pa.array(crc, pa.int64()), *ids], ["part", "doc_id", "rel", "n_tokens", "ids_crc32", "ids"][: 5 + len(ids)])
 
     schema = "part int, doc_id long, rel long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    rows = spark.read.parquet(f"{path}/blocks").mapInPandas(unpack, schema)
+    rows = spark.read.parquet(f"{path}/blocks").mapInArrow(unpack, schema)
     # one row per range partition; the running sum is over ranges, not documents
     base = spark.read.parquet(f"{path}/parts").withColumn("base", F.sum("n").over(Window.orderBy("part")) - F.col("n")).drop("n")
     return rows.join(base, "part").select("doc_id", (F.col("base") + F.col("rel")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))

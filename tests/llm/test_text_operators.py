@@ -229,7 +229,7 @@ def test_word_tokenizer_equals_library_with_small_caches():
 
 
 def test_damaged_block_is_found():
-    ids = np.arange(5000) % 97
+    ids = np.arange(2 * tokens.LANES * 2 + 9) % 97
     tab = tokens.Table.from_counts(np.bincount(ids))
     parted = tab.encode(ids, every=2)
     assert tab.checkpoints(parted) == 3
