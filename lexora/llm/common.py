@@ -127,6 +127,26 @@ def sorted_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[
         yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
 
 
+def whole_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """Frames that hold whole groups of ``key``, from batches of a partition
+    that is sorted by it; memory is one group and one batch."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        if not len(b):
+            continue
+        code = b[key].to_numpy()
+        if held and code[-1] == held[-1][key].iloc[-1] and code[0] == code[-1]:
+            held.append(b)  # still the same group
+            continue
+        last = int(np.flatnonzero(code != code[-1])[-1]) + 1 if code[0] != code[-1] else 0
+        done = [*held, b.iloc[:last]]
+        held = [b.iloc[last:]]
+        if any(len(d) for d in done):
+            yield pd.concat(done, ignore_index=True)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for each node of ``edges``; component is its
     smallest reachable node. Alternates large-star and small-star rounds until

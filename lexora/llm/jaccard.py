@@ -12,11 +12,12 @@ gives the same result, so this costs no links.
 All classes that share a prefix shingle belong to the group of the smallest
 document among them; a class is in few groups. Groups are dealt into chunks of
 bounded total size, each chunk also holding the group's smallest document. In a
-chunk a signature tree is built: its nodes hold OR-combined token bitmaps, size
-ranges and the largest excess of tokens over bits; a dual traversal of the tree
-with itself prunes node pairs whose greatest possible overlap is too small for
-the similarity, and skips those that are connected already. Surviving pairs are
-verified on the whole sets, and only links that connect something new leave the
+chunk signature trees are built, one for each bitmap width (a set's bitmap has
+two to four bits for each shingle): nodes hold OR-combined token bitmaps, size
+ranges and the largest excess of tokens over bits; a dual traversal prunes node
+pairs whose greatest possible overlap is too small for the similarity, and skips
+those that are connected already. A first traversal on the bitmaps alone decides
+whose texts move at all. Surviving pairs are verified on the whole sets, and only links that connect something new leave the
 task: no chunk emits all pairs of a group. Groups of several chunks whose
 members are not connected after that go through a second round, in which the
 members outside the group's largest component meet all its chunks. No pair that
@@ -34,53 +35,55 @@ id of its rows, null only if none has one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexora.llm.common import connected_components, persist_table, shuffle_width, sorted_groups, table
+from lexora.llm.common import connected_components, drop_tables, persist_table, release, shuffle_width, sorted_groups, table, text_slices, whole_groups, word_codes
 
 WORDS, NUM, DEN = 5, 4, 5  # shingle width; similarity NUM/DEN
 HOT, HOT_AT_LEAST = 1 << 16, 200
 CHUNK_TOKENS, CHUNK_ROWS = 4_000_000, 2000
-BITS, LEAF = 2048, 8
+LEAF = 8
+GROUP_BYTES = 8_000_000  # of texts whose words are hashed together
 #: Ids of 8 bytes that may be broadcast, some 64 MB as a hash table; beyond
 #: that the join shuffles.
 BROADCAST_IDS = 2_000_000
-_POP = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
-class _WordHash(dict):
-    def __missing__(self, w: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[w] = xxhash.xxh3_64_intdigest(w)
-        return h
-
-
-_HASHES = _WordHash()
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
-def shingles(text: str | None, width: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a whole text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    if n < width:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=n)], np.uint64)
-    w = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
-    with np.errstate(over="ignore"):
-        h = np.zeros(n - width + 1, np.uint64)
-        for i in range(width):
-            h = (h ^ w[i : n - width + 1 + i]) * _MIX[i % 5]
-            h ^= h >> np.uint64(32)
-    return np.unique(h)
+def shingle_sets(texts: pa.Array, width: int = WORDS) -> Iterator[np.ndarray]:
+    """For each whole text the sorted distinct 64-bit hashes of its word
+    shingles; each distinct word of some texts is hashed once."""
+    for part in text_slices(texts.cast(pa.string()), GROUP_BYTES):
+        count, codes, words = word_codes(part, lower=True)
+        said = words.to_pylist()
+        w = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in said), np.uint64, len(said))[codes]
+        h = np.zeros(max(0, len(w) - width + 1), np.uint64)
+        with np.errstate(over="ignore"):
+            for i in range(width):
+                h = (h ^ w[i : len(w) - width + 1 + i]) * _MIX[i % 5]
+                h ^= h >> np.uint64(32)
+        upto = np.concatenate([[0], np.cumsum(count)]).tolist()
+        for a, z in zip(upto, upto[1:]):
+            if a == z:
+                yield h[:0]
+            elif z - a < width:
+                yield np.array([xxhash.xxh3_64_intdigest(" ".join(said[c] for c in codes[a:z]), seed=z - a)], np.uint64)
+            else:
+                s = np.sort(h[a : z - width + 1])
+                yield s[np.concatenate([[True], s[1:] != s[:-1]])]
+
+
+def shingles(text: str | None) -> np.ndarray:
+    return next(shingle_sets(pa.array([text], pa.string())))
 
 
 def prefix(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -102,16 +105,18 @@ def class_key(s: np.ndarray) -> int:
 
 
 def _count(words: np.ndarray) -> np.ndarray:
-    return _POP[words.view(np.uint16)].sum(-1, dtype=np.int64)
+    return np.bitwise_count(words).sum(-1, dtype=np.int64)
 
 
 class Tree:
     """Signature tree over sets: level 0 are the sets, ordered by size; each
-    further level joins ``LEAF`` neighbours, until one node is left."""
+    further level joins ``LEAF`` neighbours, until one node is left. ``ids``
+    are the sets' numbers in that order."""
 
-    def __init__(self, bitmaps: np.ndarray, sizes: np.ndarray):
-        self.rows = np.argsort(sizes, kind="stable").tolist()
-        bitmap, n = bitmaps[self.rows], sizes[self.rows].astype(np.int64)
+    def __init__(self, bitmaps: np.ndarray, sizes: np.ndarray, ids: np.ndarray):
+        order = np.argsort(sizes, kind="stable")
+        self.ids = ids[order].tolist()
+        bitmap, n = bitmaps[order], sizes[order].astype(np.int64)
         self.levels = [(bitmap, n, n, n - _count(bitmap))]
         while len(self.levels[-1][0]) > 1:
             b, lo, hi, ex = self.levels[-1]
@@ -123,41 +128,101 @@ class Tree:
         return i * LEAF, min((i + 1) * LEAF, len(self.levels[level - 1][0]))
 
 
+def bits_for(n: int) -> int:
+    """Bits of the bitmap of a set of n: a power of two, twice n at least, so
+    that bitmaps of long texts tell them apart too."""
+    return max(64, 1 << (2 * n - 1).bit_length())
+
+
 def bitmap_of(s: np.ndarray) -> np.ndarray:
-    flags = np.zeros(BITS, np.uint8)
-    flags[(s & np.uint64(BITS - 1)).astype(np.int64)] = 1
+    bits = bits_for(len(s))
+    flags = np.zeros(bits, np.uint8)
+    flags[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(flags, bitorder="little").view(np.uint64)
 
 
-def possible(ta: Tree, da: int, a: slice, tb: Tree, db: int, b: slice) -> np.ndarray:
-    """Which pairs of nodes could hold a similar pair."""
-    ba, na, ma, xa = (v[a] for v in ta.levels[da])
-    bb, nb, mb, xb = (v[b] for v in tb.levels[db])
-    most = _count(ba[:, None] & bb[None]) + np.minimum(xa[:, None], xb[None])
-    least = na[:, None] + nb[None]  # overlap >= least * NUM / (NUM + DEN)
-    return ((NUM + DEN) * most >= NUM * least) & (DEN * ma[:, None] >= NUM * nb[None]) & (DEN * mb[None] >= NUM * na[:, None])
+def fold(bitmaps: np.ndarray) -> np.ndarray:
+    """Bitmaps of half the bits."""
+    half = bitmaps.shape[-1] // 2
+    return bitmaps[..., :half] | bitmaps[..., half:]
 
 
-def with_partner(bitmaps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Rows that could be similar to another row, by the tree alone."""
-    t = Tree(bitmaps, sizes)
-    hit = np.zeros(len(sizes), bool)
-    stack = [(len(t.levels) - 1, 0, 0)]
+def _enough(common: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Could sets of these sizes be similar, if they share so many at most?"""
+    return ((NUM + DEN) * common >= NUM * (na + nb)) & (DEN * na >= NUM * nb) & (DEN * nb >= NUM * na)
+
+
+def forest(bitmaps: list[np.ndarray], sizes: np.ndarray, ids: np.ndarray) -> Iterator[tuple[Tree, Tree]]:
+    """Pairs of trees that hold every pair of sets whose sizes allow it. Sets
+    have a tree for each bitmap width; a similar pair has the same width or
+    neighbouring ones, and then the wider bitmaps are folded."""
+    width = np.array([len(b) for b in bitmaps])
+    for w in np.unique(width):
+        low = np.flatnonzero(width == w)
+        tree = Tree(np.stack([bitmaps[i] for i in low]), sizes[low], ids[low])
+        yield tree, tree
+        high = np.flatnonzero((width == 2 * w) & (NUM * sizes <= DEN * sizes[low].max()))
+        if len(high):
+            yield tree, Tree(fold(np.stack([bitmaps[i] for i in high])), sizes[high], ids[high])
+
+
+def dual(ta: Tree, tb: Tree, skip: Callable[[list, list], bool], found: Callable[[int, int], None]) -> None:
+    """Dual traversal of two trees (or of one with itself): calls ``found`` for
+    each pair of sets that could be similar, except below pairs of nodes whose
+    sets ``skip`` finds settled."""
+    stack = [(len(ta.levels) - 1, 0, len(tb.levels) - 1, 0)]
     while stack:
-        level, i, j = stack.pop()
-        d, a0, a1 = (level - 1, *t.span(level, i)) if level else (0, i, i + 1)
-        b0, b1 = t.span(level, j) if level else (j, j + 1)
-        if d == 0 and hit[a0:a1].all() and hit[b0:b1].all():
+        la, i, lb, j = stack.pop()
+        da, a0, a1 = (la - 1, *ta.span(la, i)) if la else (0, i, i + 1)
+        db, b0, b1 = (lb - 1, *tb.span(lb, j)) if lb else (0, j, j + 1)
+        if da == db == 0 and skip(ta.ids[a0:a1], tb.ids[b0:b1]):
             continue
-        for x, y in zip(*np.nonzero(possible(t, d, slice(a0, a1), t, d, slice(b0, b1)))):
-            x, y = int(x) + a0, int(y) + b0
-            if d and y >= x:
-                stack.append((d, x, y))
-            elif not d and x != y:
-                hit[x] = hit[y] = True
-    out = np.zeros(len(sizes), bool)
-    out[t.rows] = hit
-    return out
+        ba, na, ma, xa = (v[a0:a1, None] for v in ta.levels[da])
+        bb, nb, mb, xb = (v[None, b0:b1] for v in tb.levels[db])
+        # overlap >= (smallest sizes) * NUM / (NUM + DEN); size ranges may meet
+        ok = ((NUM + DEN) * (_count(ba & bb) + np.minimum(xa, xb)) >= NUM * (na + nb)) & (DEN * ma >= NUM * nb) & (DEN * mb >= NUM * na)
+        for x, y in zip(*(v.tolist() for v in np.nonzero(ok))):
+            x, y = x + a0, y + b0
+            if ta is tb and da == db and y < x:
+                continue
+            if da or db:
+                stack.append((da, x, db, y))
+            elif ta.ids[x] != tb.ids[y]:
+                found(ta.ids[x], tb.ids[y])
+
+
+def with_partner(bitmaps: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """Sets that could be similar to another one, by the trees alone."""
+    hit = np.zeros(len(sizes), bool)
+
+    def found(x: int, y: int) -> None:
+        hit[x] = hit[y] = True
+
+    for ta, tb in forest(bitmaps, sizes, np.arange(len(sizes))):
+        dual(ta, tb, lambda a, b: bool(hit[a].all() and hit[b].all()), found)
+    return hit
+
+
+def with_partner_leaves(group: np.ndarray, bitmaps: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """The same for many groups of at most ``LEAF`` sets, whose trees are one
+    leaf: all their pairs are tested together. Rows are ordered by group."""
+    hit = np.zeros(len(group), bool)
+    width = np.array([len(b) for b in bitmaps])
+    for step in range(1, LEAF):
+        a = np.flatnonzero(group[step:] == group[:-step])
+        b = a + step
+        ok = (DEN * sizes[a] >= NUM * sizes[b]) & (DEN * sizes[b] >= NUM * sizes[a]) & ~(hit[a] & hit[b])
+        a, b = a[ok], b[ok]
+        a, b = np.where(width[a] <= width[b], a, b), np.where(width[a] <= width[b], b, a)
+        for w in np.unique(width[a]):
+            for c in range(0, len(pair := np.flatnonzero(width[a] == w)), 4096):
+                x, y = a[pair[c : c + 4096]], b[pair[c : c + 4096]]
+                bx = np.stack([bitmaps[i] for i in x])
+                by = np.stack([bitmaps[i] if len(bitmaps[i]) == w else fold(bitmaps[i]) for i in y])
+                most = _count(bx & by) + np.minimum(sizes[x] - _count(bx), sizes[y] - _count(by))
+                sure = _enough(most, sizes[x], sizes[y])
+                hit[x[sure]] = hit[y[sure]] = True
+    return hit
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -179,33 +244,21 @@ class Links:
         return i
 
 
-def tree_links(sets: list[np.ndarray], left: list[int], right: list[int] | None, uf: Links) -> list[tuple[int, int]]:
-    """New links within ``left``, or between ``left`` and ``right``."""
-    plant = lambda ids: Tree(np.stack([bitmap_of(sets[i]) for i in ids]), np.array([len(sets[i]) for i in ids]))
-    ta = plant(left)
-    tb = ta if right is None else plant(right)
-    a_ids = [left[r] for r in ta.rows]
-    b_ids = a_ids if right is None else [right[r] for r in tb.rows]
+def tree_links(sets: list[np.ndarray], uf: Links, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """New links among ``sets``, or only those between the two values of ``side``."""
     out: list[tuple[int, int]] = []
-    stack = [(len(ta.levels) - 1, 0, len(tb.levels) - 1, 0)]
-    while stack:
-        la, i, lb, j = stack.pop()
-        da, a0, a1 = (la - 1, *ta.span(la, i)) if la else (0, i, i + 1)
-        db, b0, b1 = (lb - 1, *tb.span(lb, j)) if lb else (0, j, j + 1)
-        if da == db == 0 and len({uf.find(x) for x in (*a_ids[a0:a1], *b_ids[b0:b1])}) == 1:
-            continue
-        ok = possible(ta, da, slice(a0, a1), tb, db, slice(b0, b1))
-        for x, y in zip(*np.nonzero(ok)):
-            x, y = int(x) + a0, int(y) + b0
-            if right is None and da == db and y < x:
-                continue
-            if da or db:
-                stack.append((da, x, db, y))
-            elif a_ids[x] != b_ids[y]:
-                u, v = uf.find(a_ids[x]), uf.find(b_ids[y])
-                if u != v and similar(sets[a_ids[x]], sets[b_ids[y]]):
-                    uf.up[max(u, v)] = min(u, v)
-                    out.append((a_ids[x], b_ids[y]))
+
+    def settled(a: list[int], b: list[int]) -> bool:
+        return len({uf.find(x) for x in (*a, *b)}) == 1 or (side is not None and len({side[x] for x in (*a, *b)}) == 1)
+
+    def found(x: int, y: int) -> None:
+        u, v = uf.find(x), uf.find(y)
+        if u != v and (side is None or side[x] != side[y]) and similar(sets[x], sets[y]):
+            uf.up[max(u, v)] = min(u, v)
+            out.append((x, y))
+
+    for ta, tb in forest(list(map(bitmap_of, sets)), np.array(list(map(len, sets)), np.int64), np.arange(len(sets))):
+        dual(ta, tb, settled, found)
     return out
 
 
@@ -213,6 +266,8 @@ def class_links(src: DataFrame, facts: DataFrame, classes: DataFrame, hot_limit:
     """Links ``(a, b)`` that connect the classes ``(cls, rep, bits)`` of the
     documents ``src(row, text)``; ``facts`` has the counts of shingles."""
 
+    none = np.zeros(0, np.uint64)
+
     def first_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"token": np.frombuffer(b"".join(b["often"]), np.int64), "n": np.frombuffer(b"".join(b["times"]), np.int64)})
@@ -221,35 +276,43 @@ def class_links(src: DataFrame, facts: DataFrame, classes: DataFrame, hot_limit:
     top = counts.where(F.col("n") >= hot_limit).orderBy(F.desc("n"), "token").limit(HOT).select("token").toPandas()["token"]  # at most HOT numbers
     hot = np.sort(top.to_numpy(np.int64).view(np.uint64))
 
-    def postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for a in range(0, len(b), 500):
-                sets = list({class_key(s): s for s in map(shingles, b["text"].iloc[a : a + 500]) if len(s)}.items())
-                if not sets:
-                    continue
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for b in batches:
+                sets = list({class_key(s): s for s in shingle_sets(b.column(0)) if len(s)}.items())
                 pre = [prefix(s, hot) for _, s in sets]
-                size = [len(p) for p in pre]
-                yield pd.DataFrame({
-                    "token": np.concatenate(pre).view(np.int64),
-                    "cls": np.repeat(np.array([k for k, _ in sets], np.int64), size),
-                    "n": np.repeat(np.array([len(s) for _, s in sets], np.int64), size),
-                })
-
-    post = persist_table(src.select("text").mapInPandas(postings, "token long, cls long, n long"), "postings")
+                size = list(map(len, pre))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate([none, *pre]).view(np.int64)),
+                    pa.array(np.repeat(np.array([k for k, _ in sets], np.int64), size)),
+                    pa.array(np.repeat(np.array([len(s) for _, s in sets], np.int32), size)),
+                ], ["token", "cls", "n"])
+        finally:
+            release()
+
+    post = persist_table(src.select("text").mapInArrow(postings, "token long, cls long, n int"), "postings")
     # a shingle of two rows whose sizes differ too much links nothing
     shared = post.groupBy("token").agg(F.min("cls").alias("pivot"), F.max("cls").alias("other"), F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     shared = shared.where((F.col("pivot") < F.col("other")) & ((F.col("c") > 2) | (DEN * F.col("lo") >= NUM * F.col("hi")))).select("token", "pivot")
     met = post.join(shared, "token").groupBy("pivot", "cls").agg(F.first("n").alias("n"))
     members = persist_table(met.join(classes, "cls").select("pivot", "rep", "n", "bits", (F.col("cls") == F.col("pivot")).alias("is_pivot")), "members")
+    drop_tables(post)
     groups = members.groupBy("pivot").agg(F.greatest(F.ceil(F.sum("n") / CHUNK_TOKENS), F.ceil(F.count("*") / chunk_rows)).cast("int").alias("chunks"))
     dealt = members.join(groups, "pivot").withColumn("chunk", F.pmod(F.xxhash64("rep", "pivot"), F.col("chunks")).cast("int"))
     width = shuffle_width(src.sparkSession)
 
     def promising(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in sorted_groups(batches, ["pivot"]):
-            if len(g) > 1:
-                bits = np.frombuffer(b"".join(g["bits"]), np.uint64).reshape(len(g), -1)
-                yield g.loc[with_partner(bits, g["n"].to_numpy()), ["pivot", "rep"]]
+        for frame in whole_groups(batches, "pivot"):
+            group, n = frame["pivot"].to_numpy(), frame["n"].to_numpy(np.int64)
+            bitmaps = [np.frombuffer(b, np.uint64) for b in frame["bits"]]
+            first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            size = np.diff(np.append(first, len(group)))
+            small = np.flatnonzero(np.repeat(size <= LEAF, size))
+            hit = np.zeros(len(group), bool)
+            hit[small] = with_partner_leaves(group[small], [bitmaps[i] for i in small], n[small])
+            for a, k in zip(first[size > LEAF], size[size > LEAF]):
+                hit[a : a + k] = with_partner(bitmaps[a : a + k], n[a : a + k])
+            yield frame.loc[hit, ["pivot", "rep"]]
 
     # groups of one chunk are thinned by their trees before any text moves
     single = dealt.where("chunks = 1").select("pivot", "rep", "n", "bits").repartition(width, "pivot").sortWithinPartitions("pivot")
@@ -258,6 +321,7 @@ def class_links(src: DataFrame, facts: DataFrame, classes: DataFrame, hot_limit:
     spare = dealt.where("is_pivot and chunks > 1").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     columns = ["pivot", "chunk", "chunks", "rep"]
     dealt = persist_table(dealt.select(*columns).union(spare.select(*columns)).union(single.select(*columns)).distinct(), "dealt")
+    drop_tables(members)
     # the texts stay where they are unless the ids are too many to send around
     asked = persist_table(dealt.select(F.col("rep").alias("row")).distinct(), "asked")
     if asked.count() <= BROADCAST_IDS:
@@ -270,8 +334,8 @@ def class_links(src: DataFrame, facts: DataFrame, classes: DataFrame, hot_limit:
     def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in sorted_groups(batches, ["pivot", "chunk"]):
             if len(g) > 1:
-                sets, ids = [shingles(t) for t in g["text"]], g["rep"].tolist()
-                links = tree_links(sets, list(range(len(sets))), None, Links(ids))
+                sets, ids = list(shingle_sets(pa.array(g["text"], pa.string()))), g["rep"].tolist()
+                links = tree_links(sets, Links(ids))
                 if links:
                     yield pd.DataFrame([(ids[i], ids[j]) for i, j in links], columns=["a", "b"])
 
@@ -293,9 +357,8 @@ def class_links(src: DataFrame, facts: DataFrame, classes: DataFrame, hot_limit:
 
     def between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in sorted_groups(batches, ["pivot", "chunk", "cut"]):
-            sets, ids = [shingles(t) for t in g["text"]], g["rep"].tolist()
-            a, b = np.flatnonzero(g["side"] == 0).tolist(), np.flatnonzero(g["side"] == 1).tolist()
-            if a and b and (links := tree_links(sets, a, b, Links(g["component"].tolist()))):
+            sets, ids, side = list(shingle_sets(pa.array(g["text"], pa.string()))), g["rep"].tolist(), g["side"].to_numpy()
+            if 0 < side.sum() < len(side) and (links := tree_links(sets, Links(g["component"].tolist()), side)):
                 yield pd.DataFrame([(ids[i], ids[j]) for i, j in links], columns=["a", "b"])
 
     more = persist_table(cross.select("pivot", "chunk", "cut", "side", "rep", "component", "text").mapInPandas(between, "a long, b long"), "links")
@@ -312,24 +375,26 @@ def row_components(rows: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``best`` is the row of its component with the smallest ``(anon, id, row)``,
     where ``anon`` marks a null id; null for a row without words."""
     number = rows[id_col].cast("long")
-    # Arrow hands null integers to pandas as floats, so they travel as 0
     src = rows.select(rows["__row"].alias("row"), F.coalesce(number, F.lit(0)).alias("id"), number.isNull().alias("anon"), rows[text_col].alias("text"))
 
     none = np.zeros(0, np.uint64)
 
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = [shingles(t) for t in b["text"]]
-            digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            keys = np.array([class_key(s) for s in sets], np.int64)
-            out = pd.DataFrame({"row": b["row"], "id": b["id"], "anon": b["anon"], "n_shingles": [len(s) for s in sets], "digest": digest, "cls": keys, "bits": [bitmap_of(s).tobytes() for s in sets]})
-            token, n = np.unique(np.concatenate([none, *(prefix(s, none) for s in sets)]), return_counts=True)
-            counts = (token[n > 1].tobytes(), n[n > 1].astype(np.int64).tobytes())
-            for name, data in zip(("often", "times"), counts):  # held by the batch's first row
-                out[name] = [data, *[None] * (len(b) - 1)] if len(b) else []
-            yield out
-
-    facts = persist_table(src.mapInPandas(describe, "row long, id long, anon boolean, n_shingles long, digest binary, cls long, bits binary, often binary, times binary"), "facts")
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for b in batches:
+                sets = list(shingle_sets(b.column(3)))
+                digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                token, n = np.unique(np.concatenate([none, *(prefix(s, none) for s in sets)]), return_counts=True)
+                # counts of the batch are held by its first row
+                held = [[x, *[None] * (len(sets) - 1)][: len(sets)] for x in (token[n > 1].tobytes(), n[n > 1].astype(np.int64).tobytes())]
+                yield pa.RecordBatch.from_arrays([
+                    b.column(0), b.column(1), b.column(2), pa.array(list(map(len, sets)), pa.int64()), pa.array(digest, pa.binary()), pa.array(list(map(class_key, sets)), pa.int64()),
+                    pa.array([bitmap_of(s).tobytes() if len(s) else None for s in sets], pa.binary()), pa.array(held[0], pa.binary()), pa.array(held[1], pa.binary()),
+                ], ["row", "id", "anon", "n_shingles", "digest", "cls", "bits", "often", "times"])
+        finally:
+            release()
+
+    facts = persist_table(src.mapInArrow(describe, "row long, id long, anon boolean, n_shingles long, digest binary, cls long, bits binary, often binary, times binary"), "facts")
     classes = facts.where("digest is not null").groupBy("digest", "cls").agg(F.min(F.struct("anon", "id", "row")).alias("best"), F.first("bits").alias("bits"))
     classes = persist_table(classes.withColumn("rep", F.col("best.row")), "classes")
     links = class_links(src.select("row", "text"), facts, classes.select("cls", "rep", "bits"), **kw)
