@@ -5,6 +5,7 @@ connected components."""
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,16 +28,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share. It is ``spark.checkpoint.dir``;
-    only where that is unset (tests) a local folder is made and recorded."""
+    only where that is unset, in local mode, a folder is made and recorded."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None)
+    held = sc._jsc.sc().getCheckpointDir()
+    if not at and held.isDefined():
+        at = held.get()
+    if not at and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not at:
-        held = sc._jsc.sc().getCheckpointDir()
-        if not held.isDefined() and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="lexora-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        at = "file://" + tempfile.mkdtemp(prefix="lexora-")
+    if not held.isDefined():
         sc.setCheckpointDir(at)
     return at.rstrip("/")
 

@@ -9,8 +9,12 @@ moved to its end, so a common passage does not gather unrelated documents. Their
 counts leave out what a batch of documents holds once; any order of shingles
 gives the same result, so this costs no links.
 
-All classes that share a prefix shingle belong to the group of the smallest
-document among them; a class is in few groups. Groups are dealt into chunks of
+Prefix shingles travel packed, dealt by hash; the ``HOT`` ones as rows, so that
+they are combined map-side and their join may be split. Where ``FEW`` classes or
+fewer hold a shingle, their pairs count what they share; similar sets of n and m
+share at least (4/9)(n + m) - (n - prefix) of the prefixes, so pairs with less
+go, the others form a group about the smaller class. All classes that hold a more
+frequent shingle belong to the group of the smallest class among them. Groups are dealt into chunks of
 bounded total size, each chunk also holding the group's smallest document. In a
 chunk signature trees are built, one for each bitmap width (a set's bitmap has
 two to four bits for each shingle): nodes hold OR-combined token bitmaps, size
@@ -41,7 +45,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexora.llm.common import connected_components, drop_tables, persist_table, release, shuffle_width, sorted_groups, table, text_slices, whole_groups, word_codes
@@ -49,11 +53,11 @@ from lexora.llm.common import connected_components, drop_tables, persist_table,
 WORDS, NUM, DEN = 5, 4, 5  # shingle width; similarity NUM/DEN
 HOT, HOT_AT_LEAST = 1 << 16, 200
 CHUNK_TOKENS, CHUNK_ROWS = 4_000_000, 2000
-LEAF = 8
+LEAF, FEW = 8, 4
 GROUP_BYTES = 8_000_000  # of texts whose words are hashed together
-#: Ids of 8 bytes that may be broadcast, some 64 MB as a hash table; beyond
-#: that the join shuffles.
-BROADCAST_IDS = 2_000_000
+#: Rows of a few numbers that may be broadcast, some 100 MB as a hash table;
+#: beyond that the join shuffles.
+BROADCAST_ROWS = 2_000_000
 
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -262,6 +266,21 @@ def tree_links(sets: list[np.ndarray], uf: Links, side: np.ndarray | None = None
     return out
 
 
+def few(df: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, to be sent to the other side of a
+    join if it has at most ``BROADCAST_ROWS``; beyond that both are shuffled."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _shared(a: str, b: str) -> Column:
+    """(NUM + DEN) times the shingles that the prefixes of similar sets of these sizes
+    share at least, if a's prefix ends first: what lies behind it is no more
+    than the rest of a."""
+    n, m = F.col(a), F.col(b)
+    size = n - F.floor((NUM * n + DEN - 1) / DEN) + 1
+    return NUM * (n + m) - (NUM + DEN) * (n - size)
+
+
 def class_links(src: DataFrame, facts: DataFrame, classes: DataFrame, hot_limit: int = HOT_AT_LEAST, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Links ``(a, b)`` that connect the classes ``(cls, rep, bits)`` of the
     documents ``src(row, text)``; ``facts`` has the counts of shingles."""
@@ -276,30 +295,80 @@ def class_links(src: DataFrame, facts: DataFrame, classes: DataFrame, hot_limit:
     top = counts.where(F.col("n") >= hot_limit).orderBy(F.desc("n"), "token").limit(HOT).select("token").toPandas()["token"]  # at most HOT numbers
     hot = np.sort(top.to_numpy(np.int64).view(np.uint64))
 
+    width = shuffle_width(src.sparkSession)
+    buckets = 4 * width
+
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             for b in batches:
                 sets = list({class_key(s): s for s in shingle_sets(b.column(0)) if len(s)}.items())
                 pre = [prefix(s, hot) for _, s in sets]
                 size = list(map(len, pre))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([none, *pre]).view(np.int64)),
-                    pa.array(np.repeat(np.array([k for k, _ in sets], np.int64), size)),
-                    pa.array(np.repeat(np.array([len(s) for _, s in sets], np.int32), size)),
-                ], ["token", "cls", "n"])
+                token = np.concatenate([none, *pre])
+                cls = np.repeat(np.array([k for k, _ in sets], np.int64), size)
+                n = np.repeat(np.array([len(s) for _, s in sets], np.int32), size)
+                place = (token % np.uint64(buckets)).astype(np.int64)
+                if len(hot):
+                    place[hot[np.minimum(np.searchsorted(hot, token), len(hot) - 1)] == token] = -1
+                order = np.argsort(place, kind="stable")
+                token, cls, n, place = token[order].view(np.int64), cls[order], n[order], place[order]
+                cut = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else place
+                ends = np.append(cut[1:], len(place))
+                data = [token[x:y].tobytes() + cls[x:y].tobytes() + n[x:y].tobytes() for x, y in zip(cut, ends)]
+                yield pa.RecordBatch.from_arrays([pa.array(place[cut], pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
         finally:
             release()
 
-    post = persist_table(src.select("text").mapInArrow(postings, "token long, cls long, n int"), "postings")
-    # a shingle of two rows whose sizes differ too much links nothing
-    shared = post.groupBy("token").agg(F.min("cls").alias("pivot"), F.max("cls").alias("other"), F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    shared = shared.where((F.col("pivot") < F.col("other")) & ((F.col("c") > 2) | (DEN * F.col("lo") >= NUM * F.col("hi")))).select("token", "pivot")
-    met = post.join(shared, "token").groupBy("pivot", "cls").agg(F.first("n").alias("n"))
-    members = persist_table(met.join(classes, "cls").select("pivot", "rep", "n", "bits", (F.col("cls") == F.col("pivot")).alias("is_pivot")), "members")
+    def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        k = len(data) // 20
+        return np.frombuffer(data, np.int64, k), np.frombuffer(data, np.int64, k, 8 * k), np.frombuffer(data, np.int32, k, 16 * k)
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in sorted_groups(batches, ["bucket"]):
+            token, cls, n = map(np.concatenate, zip(*map(unpacked, g["data"])))
+            order = np.lexsort((cls, token))
+            token, cls, n = token[order], cls[order], n[order].astype(np.int64)
+            once = np.concatenate([[True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])])
+            token, cls, n = token[once], cls[once], n[once]
+            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            size = np.diff(np.append(first, len(token)))
+            few = np.repeat(size <= FEW, size)
+            parts = []
+            for step in range(1, FEW):
+                x = np.flatnonzero((token[step:] == token[:-step]) & few[step:])
+                y = x + step
+                near = (DEN * n[x] >= NUM * n[y]) & (DEN * n[y] >= NUM * n[x])
+                parts.append(np.stack([cls[x[near]], cls[y[near]], n[x[near]], n[y[near]], np.ones(int(near.sum()), np.int64)]))
+            pivot, head = np.repeat(cls[first], size), np.repeat(n[first], size)
+            many = np.repeat(size > FEW, size)
+            parts.append(np.stack([pivot[many], cls[many], head[many], n[many], np.zeros(int(many.sum()), np.int64)]))
+            yield pd.DataFrame(np.concatenate(parts, axis=1).T, columns=["a", "b", "na", "nb", "o"]).groupby(["a", "b", "na", "nb"], as_index=False)["o"].sum()
+
+    def hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, unpacked(data))), ["token", "cls", "n"])
+
+    post = persist_table(src.select("text").mapInArrow(postings, "bucket int, data binary"), "postings")
+    cold = post.where("bucket >= 0").repartition(width, "bucket").sortWithinPartitions("bucket")
+    met = persist_table(cold.mapInPandas(meet, "a long, b long, na long, nb long, o long"), "met")
+    # with few classes to a shingle, pairs are counted: two similar sets share
+    # so many of their prefixes that this leaves few others
+    pairs = met.where("o > 0").groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o")).where((NUM + DEN) * F.col("o") >= F.least(_shared("na", "nb"), _shared("nb", "na")))
+    pairs = persist_table(pairs, "pairs")
+    joined = pairs.select(F.col("a").alias("pivot"), F.col("b").alias("cls"), F.col("nb").alias("n")).union(pairs.select("a", "a", "na"))
+    # shingles of more classes gather a group about their smallest class; of
+    # the hot ones, which any number of classes may hold, by map-side counts
+    joined = joined.union(met.where("o = 0").select("a", "b", "nb"))
+    warm = post.where("bucket < 0").select("data").mapInArrow(hot_rows, "token long, cls long, n int")
+    shared = warm.groupBy("token").agg(F.min("cls").alias("pivot"), F.max("cls").alias("other")).where("pivot < other").select("token", "pivot")
+    joined = joined.union(warm.join(shared, "token").select("pivot", "cls", "n"))
+    grouped = persist_table(joined.groupBy("pivot", "cls").agg(F.first("n").alias("n")), "grouped")
+    members = persist_table(classes.join(few(grouped), "cls").select("pivot", "rep", "n", "bits", (F.col("cls") == F.col("pivot")).alias("is_pivot")), "members")
+    drop_tables(met, pairs, grouped)
     drop_tables(post)
     groups = members.groupBy("pivot").agg(F.greatest(F.ceil(F.sum("n") / CHUNK_TOKENS), F.ceil(F.count("*") / chunk_rows)).cast("int").alias("chunks"))
     dealt = members.join(groups, "pivot").withColumn("chunk", F.pmod(F.xxhash64("rep", "pivot"), F.col("chunks")).cast("int"))
-    width = shuffle_width(src.sparkSession)
 
     def promising(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in whole_groups(batches, "pivot"):
@@ -322,14 +391,9 @@ def class_links(src: DataFrame, facts: DataFrame, classes: DataFrame, hot_limit:
     columns = ["pivot", "chunk", "chunks", "rep"]
     dealt = persist_table(dealt.select(*columns).union(spare.select(*columns)).union(single.select(*columns)).distinct(), "dealt")
     drop_tables(members)
-    # the texts stay where they are unless the ids are too many to send around
-    asked = persist_table(dealt.select(F.col("rep").alias("row")).distinct(), "asked")
-    if asked.count() <= BROADCAST_IDS:
-        asked = F.broadcast(asked)
-    reps = src.where("text is not null").join(asked, "row").select(F.col("row").alias("rep"), "text")
-    reps = persist_table(reps, "reps")
+    texts = src.where("text is not null").withColumnRenamed("row", "rep")
     # texts of the classes that have a group, once for each of their chunks
-    tasks = reps.join(dealt, "rep").repartition(width, "pivot", "chunk").sortWithinPartitions("pivot", "chunk", "rep")
+    tasks = texts.join(few(dealt), "rep").repartition(width, "pivot", "chunk").sortWithinPartitions("pivot", "chunk", "rep")
 
     def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in sorted_groups(batches, ["pivot", "chunk"]):
@@ -353,7 +417,7 @@ def class_links(src: DataFrame, facts: DataFrame, classes: DataFrame, hot_limit:
     chunks = named.select("pivot", "chunk").distinct()
     side_a = rest.join(chunks, "pivot").select("pivot", "chunk", "cut", "rep", "component", F.lit(0).alias("side"))
     side_b = named.join(rest_size, "pivot").withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select("pivot", "chunk", "cut", "rep", "component", F.lit(1).alias("side"))
-    cross = reps.join(side_a.union(side_b), "rep").repartition(width, "pivot", "chunk", "cut").sortWithinPartitions("pivot", "chunk", "cut", "side", "rep")
+    cross = texts.join(few(persist_table(side_a.union(side_b), "sides")), "rep").repartition(width, "pivot", "chunk", "cut").sortWithinPartitions("pivot", "chunk", "cut", "side", "rep")
 
     def between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in sorted_groups(batches, ["pivot", "chunk", "cut"]):
