@@ -2,13 +2,13 @@
 
 Words of a source are laid end to end (documents in hash order) and packed into
 blocks of ``BLOCK`` words. Output shards have ``SLOTS`` slots; each shard draws
-its counts per source by one multinomial draw of least variance
-(systematic sampling: slot i falls at (i + u) / SLOTS on the line of cumulative
-weights, with an offset u for each shard, so every count is within one of its
-mean and totals stay near their targets). Slots of a source are numbered through; number j maps to block
-permutation(j mod blocks) in epoch j div blocks, where the permutation is a
-pseudorandom one for each source and epoch (swap-or-not rounds), computed from
-the index alone. Slots and documents meet by an equi-join on (source, block).
+its counts per source by one multinomial draw. Slots of a source are numbered
+through. Draws have noise, and small sources would miss their targets by it, so
+draws beyond a source's quota (some square root of them all) are given to the
+sources that fell short. Number j maps to block permutation(j mod blocks) in
+epoch j div blocks, where the permutation is a pseudorandom one for each source
+and epoch (swap-or-not rounds), computed from the index alone. Slots and
+documents meet by an equi-join on (source, block).
 
 Targets: sources by code point, null last, weigh 3, 1, 2, repeating; they share
 150 % of all words; a target stops at twice its source's words and the excess is
@@ -29,12 +29,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexora.llm.common import WORD, persist_table, table
+from lexora.llm.common import WORD, persist_table, shuffle_width, table
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
 BLOCK, SLOTS, ROUNDS, SEED = 256, 4096, 10, 20
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -69,39 +69,88 @@ def permuted(x: Column, n: Column, *key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x.cast("long"), turn)
 
 
+def _sized(id_col: str, text_col: str, source_col: str) -> list[Column]:
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+    h = F.xxhash64(F.lit(SEED), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h")
+    return [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size, h]
+
+
 def size_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``(rid, doc_id, source, size, h)``, written once; text is read once."""
-    sized = docs.select(
-        F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(SEED), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h"),
-    )
-    return persist_table(sized, "sized")
+    return persist_table(docs.select(F.monotonically_increasing_id().alias("rid"), *_sized(id_col, text_col, source_col)), "sized")
+
+
+def quotas(sources: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Sources with their blocks and the blocks that the mix takes of them
+    (``quota``: the target in blocks, cumulatively rounded), laid on a line:
+    ``lo`` to ``hi``."""
+    blocks = F.ceil(F.col("source_size") / block).cast("long")
+    want = F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0)
+    line = sources.withColumn("blocks", blocks).withColumn("upto", F.sum(want).over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
+    line = line.withColumn("hi", F.round("upto").cast("long"))
+    line = line.withColumn("lo", F.lag("hi", 1, 0).over(Window.orderBy("rank")))
+    return line.withColumn("quota", F.col("hi") - F.col("lo")).drop("upto")
+
+
+def draw(sources: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """``(shard, rank, n)``: for each output shard one multinomial draw of its
+    slots, with the quotas as weights. A slot's number alone decides its draw,
+    so slots are drawn where they are and counted map-side."""
+    spark = sources.sparkSession
+    total, n_sources = sources.agg(F.coalesce(F.max("hi"), F.lit(0)), F.count("*")).first()
+    cells = min(max(1, total), max(4096, 4 * n_sources))
+    parts = max(spark.sparkContext.defaultParallelism, total // 1_000_000)
+    at = F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(max(1, total)))
+    drawn = spark.range(0, total, 1, parts).select(F.floor(F.col("id") / slots).alias("shard"), at.alias("v")).withColumn("cell", F.floor(F.col("v") * F.lit(cells) / F.lit(max(1, total))))
+    # a few sources overlap each cell of the line
+    cell = lambda x: F.floor(x * F.lit(cells) / F.lit(max(1, total)))
+    spread = sources.where("quota > 0").select("rank", "lo", "hi", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi") - 1))).alias("cell"))
+    hit = drawn.join(spread, "cell").where("v >= lo and v < hi")
+    return hit.groupBy("shard", "rank").agg(F.count("*").alias("n"))
 
 
 def plan_mix(sized: DataFrame, block: int = BLOCK, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
     """The sources with targets, and the mix: ``(rank, shard, slot, epoch,
     block)`` with one row per output block."""
+    spark = sized.sparkSession
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
-    n_blocks = F.ceil(F.col("source_size") / block).cast("long")
-    sources = sources.withColumn("blocks", n_blocks).withColumn("want", F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0))
-    sources = persist_table(sources.coalesce(1), "sources")
-    all_, upto = Window.partitionBy(), Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    line = sources.where("want > 0").withColumn("total", F.ceil(F.sum("want").over(all_) - 1e-6).cast("long"))
-    line = line.withColumn("hi", F.sum("want").over(upto) / F.sum("want").over(all_)).withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("rank")), F.lit(0.0)))
-    shards = line.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / slots))))
-    k = F.least(F.lit(slots).cast("long"), F.col("total") - F.col("shard") * slots)
-    # offsets advance by the golden ratio, so that rounding cancels over shards
-    u = F.pmod(F.pmod(F.xxhash64(F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30) + F.col("shard") * 0.6180339887498949, F.lit(1.0))
-    upper = F.when(F.col("hi") >= 1 - 1e-12, k).otherwise(F.least(k, F.ceil(k * F.col("hi") - u)))
-    shards = shards.withColumn("k", k).withColumn("from_slot", F.greatest(F.lit(0), F.ceil(k * F.col("lo") - u))).withColumn("to_slot", upper)
-    shards = shards.withColumn("n", F.greatest(F.lit(0), F.col("to_slot") - F.col("from_slot")).cast("long"))
-    run = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = shards.withColumn("first", F.coalesce(F.sum("n").over(run), F.lit(0))).where("n > 0")
-    mix = shards.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    mix = mix.withColumn("j", F.col("first") + F.col("i")).where(F.col("j") < int(CAP) * F.col("blocks"))
+    sources = persist_table(quotas(sources, block).coalesce(1), "sources")
+    draws = persist_table(draw(sources, slots), "draws")
+    # running numbers of a source's slots, in two levels of shards
+    draws = draws.withColumn("super", F.floor(F.col("shard") / 4096))
+    above = draws.groupBy("rank", "super").agg(F.sum("n").alias("b"))
+    above = above.withColumn("base", F.sum("b").over(Window.partitionBy("rank").orderBy("super")) - F.col("b")).drop("b")
+    draws = draws.withColumn("inner", F.sum("n").over(Window.partitionBy("rank", "super").orderBy("shard")) - F.col("n"))
+    draws = draws.withColumn("slot0", F.sum("n").over(Window.partitionBy("shard").orderBy("rank")) - F.col("n"))
+    draws = draws.join(above, ["rank", "super"]).withColumn("first", F.col("base") + F.col("inner"))
+    # draws beyond a source's quota go to the sources that fell short of theirs
+    held = draws.groupBy("rank").agg(F.sum("n").alias("drawn"))
+    line = Window.orderBy("rank")
+    over, short = F.greatest(F.col("drawn") - F.col("quota"), F.lit(0)), F.greatest(F.col("quota") - F.col("drawn"), F.lit(0))
+    known = sources.select("rank", "quota", "blocks").join(held, "rank", "left").fillna(0, ["drawn"]).withColumn("over", over).withColumn("short", short)
+    known = known.withColumn("over0", F.sum("over").over(line) - F.col("over")).withColumn("short0", F.sum("short").over(line) - F.col("short"))
+    known = persist_table(known, "known")
+    spots = draws.join(known, "rank").repartition(shuffle_width(spark), "shard", "rank")
+    spots = spots.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("j", F.col("first") + F.col("i"))
+    spots = spots.select("rank", "shard", (F.col("slot0") + F.col("i")).alias("slot"), "j", "blocks", "quota", (F.col("over0") + F.col("j") - F.col("quota")).alias("e"))
+    needs = known.where("short > 0").withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("short") - 1)))
+    needs = needs.select((F.col("short0") + F.col("t")).alias("e"), "rank", (F.col("drawn") + F.col("t")).alias("j"), "blocks")
+    moved = spots.where("j >= quota").select("e", "shard", "slot").join(needs, "e")
+    mix = spots.where("j < quota").select("rank", "shard", "slot", "j", "blocks").union(moved.select("rank", "shard", "slot", "j", "blocks"))
     epoch = F.floor(F.col("j") / F.col("blocks"))
-    return sources, mix.select("rank", "shard", (F.col("from_slot") + F.col("i")).alias("slot"), epoch.alias("epoch"), permuted(F.pmod("j", "blocks"), F.col("blocks"), F.col("rank"), epoch).alias("block"))
+    mix = mix.select("rank", "shard", "slot", epoch.alias("epoch"), permuted(F.pmod("j", "blocks"), F.col("blocks"), F.col("rank"), epoch).alias("block"))
+    return sources, mix
+
+
+def place(known: DataFrame, buckets: int) -> DataFrame:
+    """``known`` documents that have words, with ``a``, the place of their
+    first word in their source."""
+    placed = known.where("size > 0").withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    inner = Window.partitionBy("rank", "bucket").orderBy("h", "doc_id", "size", "rid")
+    sums = placed.groupBy("rank", "bucket").agg(F.sum("size").alias("b"))
+    sums = sums.withColumn("base", F.sum("b").over(Window.partitionBy("rank").orderBy("bucket")) - F.col("b")).drop("b")
+    upto = placed.withColumn("upto", F.sum("size").over(inner))
+    return upto.join(sums, ["rank", "bucket"]).withColumn("a", F.col("base") + F.col("upto") - F.col("size")).drop("bucket", "base", "upto")
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
@@ -109,13 +158,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sized = size_documents(docs, id_col, text_col, source_col)
     sources, mix = plan_mix(sized, block, slots)
     known = sized.join(sources.select("source", "rank", "source_size", "target"), sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    buckets = max(1, sized.count() // BUCKET_ROWS)
-    placed = known.where("size > 0").withColumn("bucket", F.pmod("h", F.lit(buckets)))
-    inner = Window.partitionBy("rank", "bucket").orderBy("h", "doc_id", "size", "rid")
-    placed = placed.withColumn("upto", F.sum("size").over(inner))
-    sums = known.where("size > 0").groupBy("rank", F.pmod("h", F.lit(buckets)).alias("bucket")).agg(F.sum("size").alias("b"))
-    sums = sums.withColumn("base", F.sum("b").over(Window.partitionBy("rank").orderBy("bucket")) - F.col("b")).drop("b")
-    placed = placed.join(sums, ["rank", "bucket"]).withColumn("a", F.col("base") + F.col("upto") - F.col("size"))
+    placed = place(known, max(1, sized.count() // BUCKET_ROWS))
     cut = placed.select("rid", "rank", "a", (F.col("a") + F.col("size")).alias("z"))
     cut = cut.withColumn("block", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("z") - 1) / block))))
     cut = cut.withColumn("words", F.least("z", (F.col("block") + 1) * block) - F.greatest("a", F.col("block") * block))
@@ -125,11 +168,35 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return known.join(taken, "rid", "left").select("rid", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def mixed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
+    """The mix itself: ``(shard, slot, source, words)``, one row per output
+    block of up to ``block`` words. Each document is cut where its source's
+    blocks end, blocks are packed from the pieces, and slots fetch blocks by
+    index."""
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), F.monotonically_increasing_id().alias("rid"))
+    keyed = persist_table(keyed, "numbered")
+    sized = persist_table(keyed.select("rid", *_sized("doc_id", "text", "source")), "sized")
+    sources, mix = plan_mix(sized, block, slots)
+    known = sized.join(sources.select("source", "rank"), sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
+    placed = place(known, max(1, sized.count() // BUCKET_ROWS)).select("rid", "rank", "a", (F.col("a") + F.col("size")).alias("z"))
+    words = keyed.select("rid", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("w")).join(placed, "rid")
+
+    def piece(b: Column) -> Column:
+        start, stop = F.greatest(F.col("a"), b * block), F.least(F.col("z"), (b + 1) * block)
+        return F.struct(b.alias("block"), start.alias("at"), F.slice("w", (start - F.col("a") + 1).cast("int"), (stop - start).cast("int")).alias("w"))
+
+    pieces = words.select("rank", F.explode(F.transform(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("z") - 1) / block)), piece)).alias("p")).select("rank", "p.*")
+    # at most ``block`` pieces to a block
+    packed = pieces.groupBy("rank", "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "w"))), lambda x: x["w"])).alias("words"))
+    return mix.join(packed.hint("merge"), ["rank", "block"]).join(sources.select("rank", "source"), "rank").select("shard", "slot", "source", "words")
+
+
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
     """``docs`` as the mix takes them: a document appears taken/size times,
-    rounded up or down by a hash of its id so that the expectation is exact: at
-    most twice; documents of no words are not taken. Same columns."""
-    numbered = persist_table(docs.withColumn("__row", F.xxhash64(*[F.col(c).cast("string") for c in docs.columns if docs.schema[c].dataType.typeName() in ("string", "long", "integer")])), "rows")
+    rounded up or down by a hash of its columns so that the expectation is
+    exact: at most twice; documents of no words are not taken. Same columns."""
+    key = F.xxhash64(*[F.col(c).cast("string") for c in docs.columns if docs.schema[c].dataType.typeName() in ("string", "long", "integer")])
+    numbered = docs.withColumn("__row", key)
     mixed = mix_documents(numbered, "__row", **kw).groupBy(F.col("doc_id").alias("__row")).agg(F.first("size").alias("__size"), F.avg("taken").alias("__taken"))
     u = F.pmod(F.xxhash64(F.lit(SEED + 1), F.col("__row")), F.lit(1 << 30)) / float(1 << 30)
     times = F.floor(F.col("__taken") / F.col("__size") + u).cast("int")

@@ -240,6 +240,40 @@ def test_mix_reaches_its_targets(spark):
     assert mixing.mix_documents(df.limit(0)).count() == 0
 
 
+def test_mix_by_brute_force(spark):
+    """Words taken, counted from the blocks that the slots name."""
+    rnd = random.Random(8)
+    rows = [(i, " ".join([f"d{i}"] * rnd.randint(0, 90)), rnd.choice("aaaab") if i else "tiny") for i in range(300)] + [(7, "d7 d7", "a")] * 3 + [(400, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    block, slots = 16, 32
+    sized = mixing.size_documents(df)
+    sources, mix = mixing.plan_mix(sized, block, slots)
+    src = {r["rank"]: r for r in sources.collect()}
+    names = {r.source: k for k, r in src.items()}
+    line, at = {}, defaultdict(int)
+    for r in sorted(sized.collect(), key=lambda r: (r.h % 1, r.h)):  # one bucket
+        line[r.rid] = (names[r.source], at[names[r.source]], r.size, r.doc_id)
+        at[names[r.source]] += r.size
+    rows_of_mix = mix.collect()
+    times = Counter((r["rank"], r.block) for r in rows_of_mix)
+    want = defaultdict(int)
+    for rank, a, size, doc in line.values():
+        want[doc] += sum(times[rank, w // block] for w in range(a, a + size))
+    got = defaultdict(int)
+    for r in mixing.mix_documents(df, block=block, slots=slots).collect():
+        got[r.doc_id] += r.taken
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+    # every slot of every shard once, quotas met, shards drawn apart
+    assert len({(r.shard, r.slot) for r in rows_of_mix}) == len(rows_of_mix) == sum(r.quota for r in src.values())
+    assert {k: v for k, v in Counter(r["rank"] for r in rows_of_mix).items()} == {k: r.quota for k, r in src.items() if r.quota}
+    assert len({(r["rank"], r.epoch, r.block) for r in rows_of_mix}) == len(rows_of_mix)
+    big = names["a"]
+    counts = Counter(r.shard for r in rows_of_mix if r["rank"] == big)
+    assert len(set(counts.values())) > 3  # draws, not equal shares
+    said = Counter(w for r in mixing.mixed_blocks(df, block=block, slots=slots).collect() for w in r.words)
+    assert {int(w[1:]): n for w, n in said.items()} == {k: v for k, v in got.items() if v}
+
+
 def test_permutation_is_one(spark):
     for n in (1, 2, 17, 1000):
         got = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3))).collect()]
