@@ -3,14 +3,14 @@
 For each language a suffix automaton is built over a bounded sample of labelled
 text. A text is parsed against each automaton into longest matches; with n
 letters of training text and m characters parsed into p phrases the entropy
-estimate is p * log2(n) / m, and the smallest wins. All blocks of a batch of
-documents advance through an automaton together, one character a step, as numpy
-gathers in a dense transition table; whole texts are parsed, in blocks of
-``BLOCK`` characters (a phrase ends with its block), so very long documents cost
-the same per character.
-
-The sample is the only thing learned: at most ``rows`` labelled rows a language,
-chosen by hash, each giving up to ``row_chars`` characters to the training text
+estimate is p * log2(n) / m, and the smallest wins. Texts are cut in blocks of
+``BLOCK`` characters, and all blocks of a batch advance through an automaton
+together, one character a step; a second pass from the states in which the
+blocks before ended makes the phrases those of one parse of the whole text. A
+character of no language's sample is code 0, which no automaton has seen.
+
+The sample is the only thing learned: at most ``rows`` distinct labelled texts a
+language, chosen by hash, each giving up to ``row_chars`` characters to the training text
 of at most ``chars`` characters. It is bounded, so it travels in the task
 closure. Prediction is row-local.
 
@@ -24,15 +24,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexora.llm.common import table
+from lexora.llm.bpe import IntMap
+from lexora.llm.common import release, table, text_slices
 
 ROWS, ROW_CHARS, CHARS = 200, 400, 40_000
 BLOCK = 1024
-STOP = 0  # a character outside the training alphabet, and the end of a block
+#: Bytes of text that are parsed together; entries of a dense transition table.
+GROUP_BYTES, DENSE = 4_000_000, 1 << 24
 
 
 def plain(text: str) -> np.ndarray:
@@ -46,8 +48,9 @@ def plain(text: str) -> np.ndarray:
 
 
 class Automaton:
-    """Suffix automaton of a text of small integers (1..width-1), as a dense
-    table of transitions with 0 for none; state 0 is nowhere, 1 the root."""
+    """Suffix automaton of a text of integers (1..width-1). Its transitions are
+    a dense table, or a hash map where that would be large; 0 is none. State 0
+    is nowhere, 1 the root."""
 
     def __init__(self, seq: list[int], width: int):
         size = 2 * len(seq) + 3
@@ -79,10 +82,29 @@ class Automaton:
             last = cur
         assert len(nxt) <= size
         self.width = width
-        self.table = np.zeros(len(nxt) * width, np.int32)
-        for s, row in enumerate(nxt):
-            for c, t in row.items():
-                self.table[s * width + c] = t
+        keys = np.fromiter((s * width + c for s, row in enumerate(nxt) for c in row), np.int64)
+        to = np.fromiter((t for row in nxt for t in row.values()), np.int64, len(keys))
+        if len(nxt) * width <= DENSE:
+            self.table = np.zeros(len(nxt) * width, np.int32)
+            self.table[keys] = to
+        else:
+            self.table, self.sparse = None, IntMap(keys, to, 0)
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        at = state * self.width + code
+        return self.table[at].astype(np.int64) if self.table is not None else self.sparse.get(at)
+
+    def advance(self, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after one more character, and the phrases that it ends."""
+        new = self.step(state, code)
+        ended = np.zeros(len(state), np.int64)
+        cut = np.flatnonzero(new == 0)
+        # the phrase ends before this character, which starts the next;
+        # from the root a character that occurs nowhere is its own phrase
+        again = self.step(np.ones(len(cut), np.int64), code[cut])
+        ended[cut] = 1 + ((state[cut] != 1) & (again == 0))
+        new[cut] = np.where(again == 0, 1, again)
+        return new, ended
 
 
 class Parser:
@@ -90,57 +112,70 @@ class Parser:
 
     def __init__(self, samples: dict[str, str]):
         seqs = {k: plain(v) for k, v in sorted(samples.items())}
-        alphabet = np.unique(np.concatenate([*seqs.values(), np.array([32], np.uint32)]))[:4000]
-        self.map = np.zeros(0x110000, np.uint16)
+        alphabet = np.unique(np.concatenate([*seqs.values(), np.array([32], np.uint32)]))
+        self.map = np.zeros(0x110000, np.int32)
         self.map[alphabet] = np.arange(1, len(alphabet) + 1)
         self.names = [k for k, s in seqs.items() if len(s)]
         self.bits = [np.log2(len(seqs[k]) + 1) for k in self.names]
         self.automata = [Automaton(self.map[seqs[k]].tolist(), len(alphabet) + 1) for k in self.names]
 
-    def _phrases(self, a: Automaton, columns: list[np.ndarray], rows: int) -> np.ndarray:
-        """Phrases of each block; columns[i] has the i-th character of the
-        blocks that are long enough, which come first."""
-        state, count = np.ones(rows, np.int64), np.zeros(rows, np.int64)
-        for col in columns:
-            n = len(col)
-            s = state[:n]
-            t = a.table[s * a.width + col]
-            cut = np.flatnonzero(t == 0)
-            # the phrase ends before this character, which starts the next;
-            # from the root a character that occurs nowhere is its own phrase
-            fresh = s[cut] != 1
-            count[cut] += 1
-            again = a.table[a.width + col[cut]]
-            count[cut[fresh & (again == 0)]] += 1
-            t[cut] = np.where(again == 0, 1, again)
-            state[:n] = t
-        return count + (state != 1)
+    def phrases(self, a: Automaton, codes: list[np.ndarray], block: int = BLOCK) -> np.ndarray:
+        """Phrases of each text. Blocks of all texts advance together, each from
+        the root; then each block is parsed again from the state in which the
+        block before it ended, in step with its first parse, until both are in
+        one state, which is soon. The counts are those of one parse."""
+        flat = np.concatenate([*codes, np.zeros(0, np.int64)]).astype(np.int64)
+        size = np.array([-(-len(c) // block) for c in codes], np.int64)
+        owner = np.repeat(np.arange(len(codes)), size)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+        long = np.array([len(c) for c in codes], np.int64)
+        start = (np.cumsum(long) - long)[owner] + nth * block
+        length = np.minimum(block, long[owner] - nth * block)
+        order = np.argsort(-length, kind="stable")  # long blocks first
+        state, count = np.ones(len(owner), np.int64), np.zeros(len(owner), np.int64)
+        for i in range(int(length.max(initial=0))):
+            order = order[: np.searchsorted(-length[order], -i, side="left")]
+            state[order], ended = a.advance(state[order], flat[start[order] + i])
+            count[order] += ended
+        alone_count, alone_end = count.copy(), state.copy()
+        done = np.ones(len(owner), np.int64)  # incoming states that the counts are for
+        while True:
+            came = np.where(nth > 0, np.concatenate([[1], state])[:-1], 1)
+            redo = np.flatnonzero(came != done)
+            if not len(redo):
+                break
+            done = came
+            x, y, live = came[redo], np.ones(len(redo), np.int64), np.arange(len(redo))
+            delta, ends = np.zeros(len(redo), np.int64), alone_end[redo]
+            for i in range(block + 1):
+                same, over = x == y, length[redo[live]] <= i
+                ends[live[over & ~same]] = x[over & ~same]
+                on = ~(same | over)
+                live, x, y = live[on], x[on], y[on]
+                if not len(live):
+                    break
+                code = flat[start[redo[live]] + i]
+                x, more = a.advance(x, code)
+                y, less = a.advance(y, code)
+                delta[live] += more - less
+            count[redo], state[redo] = alone_count[redo] + delta, ends
+        out = np.bincount(owner, count, len(codes)).astype(np.int64)
+        some = np.flatnonzero(size)
+        out[some] += state[np.cumsum(size)[some] - 1] != 1  # the last phrase
+        return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
         if not self.names:
             return out
-        blocks, owner, total = [], [], np.zeros(len(texts))
+        codes, total = [np.zeros(0, np.int64)] * len(texts), np.zeros(len(texts))
         for i, t in enumerate(texts):
             seq = plain(t) if t else np.zeros(0, np.uint32)
-            if not (seq != 32).any():
-                continue
-            code = self.map[seq]
-            total[i] = len(code)
-            for a in range(0, len(code), BLOCK):
-                blocks.append(code[a : a + BLOCK])
-                owner.append(i)
-        if not blocks:
+            if (seq != 32).any():
+                codes[i], total[i] = self.map[seq], len(seq)
+        if not total.any():
             return out
-        size = np.array([len(b) for b in blocks])
-        order = np.argsort(-size, kind="stable")
-        owner_at = np.array(owner)[order]
-        flat = np.concatenate([blocks[j] for j in order]).astype(np.int64)
-        size = size[order]
-        start = np.cumsum(size) - size
-        alive = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")
-        columns = [flat[start[:n] + i] for i, n in enumerate(alive)]
-        cost = np.array([np.bincount(owner_at, self._phrases(a, columns, len(size)), len(texts)) * b for a, b in zip(self.automata, self.bits)])
+        cost = np.array([self.phrases(a, codes) * b for a, b in zip(self.automata, self.bits)])
         for i in np.flatnonzero(total):
             c = cost[:, i]
             best = int(np.argmin(c))
@@ -154,16 +189,16 @@ def held_out(id_col: str = "doc_id", rest: int = 2):
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = ROWS, row_chars: int = ROW_CHARS, chars: int = CHARS) -> dict[str, str]:
-    """Training text per language from a bounded sample (see above). Long rows
-    give a slice at a place chosen by hash. The window is a top-k per language,
-    which Spark cuts before the shuffle."""
+    """Training text per language from a bounded sample of distinct texts (see
+    above). Long rows give a slice at a place chosen by hash."""
     src = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     keyed = src.withColumn("h", F.xxhash64("text"))
+    # copies are one hash before the smallest are chosen; hashes alone move
+    chosen = keyed.select("lang", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= rows).drop("r")
     cut = F.expr(f"substring(text, cast(1 + pmod(h, greatest(1, length(text) - {row_chars})) as int), {row_chars})")
-    keyed = keyed.select("lang", "h", cut.alias("text"))
-    top = keyed.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= rows)
+    top = keyed.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min(cut).alias("text"))  # rows x languages
     out: dict[str, str] = {}
-    for r in top.orderBy("lang", "r").collect():  # rows x languages, each at most row_chars
+    for r in top.orderBy("lang", "h").collect():  # rows x languages, each at most row_chars
         if len(have := out.get(r.lang, "")) < chars:
             out[r.lang] = (have + " " + r.text)[:chars]
     return out
@@ -177,17 +212,20 @@ def identify(docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id", t
     src = docs.select(docs[id_col].alias(id_col), docs[text_col].alias("__text"))
     key = hash(tuple(sorted(samples.items())))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _LOADED:
             _LOADED.clear()
             _LOADED[key] = Parser(samples)
-        for b in batches:
-            for a in range(0, len(b), 1000):
-                part = b.iloc[a : a + 1000]
-                got = _LOADED[key].predict(part["__text"].tolist())
-                yield pd.DataFrame({id_col: part[id_col].to_numpy(), "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]})
-
-    return src.mapInPandas(run, f"{id_col} {src.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
+        try:
+            for b in batches:
+                got: list[tuple[str, float]] = []
+                for part in text_slices(b.column(1), GROUP_BYTES):
+                    got += _LOADED[key].predict(part.to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [id_col, "lang_pred", "score"])
+        finally:
+            release()
+
+    return src.mapInArrow(run, f"{id_col} {src.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

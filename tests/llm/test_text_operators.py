@@ -157,8 +157,8 @@ def test_automaton_parses_like_substring_search(spark):
                 i = max(i + 1, j - 1)
                 n += 1
             want.append(n)
-        columns = [parser.map[code[i : i + 1]].astype("int64") for i in range(len(code))]
-        assert [int(parser._phrases(a, columns, 1)[0]) for a in parser.automata] == want
+        for block in (1, 3, 7, 1024):  # blocks do not show in the counts
+            assert [parser.phrases(a, [parser.map[code], parser.map[code[:5]]], block)[0] for a in parser.automata] == want
 
 
 def test_language_accuracy_and_edges(spark):
@@ -172,6 +172,27 @@ def test_language_accuracy_and_edges(spark):
     assert language.identify(docs_of(spark, ["a"]), {}).first().lang_pred == "und"
 
 
+def test_language_of_large_alphabets(spark, monkeypatch):
+    rnd = random.Random(12)
+    text = lambda a, z, n: "".join(chr(rnd.randint(a, z)) if rnd.random() < 0.9 else " " for _ in range(n))
+    scripts = {"han": (0x4E00, 0x4E00 + 6500), "ko": (0xAC00, 0xAC00 + 3000), "th": (0x0E01, 0x0E2E), "en": (97, 122)}
+    samples = {k: text(*v, 12_000) for k, v in scripts.items()}
+    parser = language.Parser(samples)
+    assert len(np.unique(parser.map)) > 6000 and all(parser.map[ord(c)] for s in samples.values() for c in s if c != " ")
+    tests = [(k, text(*v, 300)) for k, v in scripts.items() for _ in range(5)]
+    got = [g[0] for g in parser.predict([t for _, t in tests])]
+    assert got == [k for k, _ in tests]
+    monkeypatch.setattr(language, "DENSE", 0)
+    assert language.Parser(samples).predict([t for _, t in tests])[0] == parser.predict([tests[0][1]])[0]
+    unseen = parser.predict(["русский текст без образца", "Ελληνικά"])
+    assert all(g[0] in samples and 0 <= g[1] <= 1 for g in unseen)
+    # a large group of copies is one text of the sample
+    rows = [("a", "copy of one text")] * 500 + [("a", f"text {chr(97 + i % 26)}{chr(97 + i // 26)} apart") for i in range(60)] + [(None, "x"), ("b", None)]
+    learned = language.learn(spark.createDataFrame(rows, "lang string, text string"), rows=50)
+    assert set(learned) == {"a"} and learned["a"].count("copy of") <= 1 and learned["a"].count("apart") >= 49
+    assert language.identify(docs_of(spark, ["a"]).limit(0), samples).count() == 0
+
+
 def random_texts(seed, n):
     rnd = random.Random(seed)
     bits = list(" \n\t'sStdll 0123abcéßñ日本́\x1c\x85 .,!") + ["<|endoftext|>", "'ll", "the", "  ", "Ġ", "<|startoftext|>"]
