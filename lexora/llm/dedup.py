@@ -16,11 +16,12 @@ Ordering. The segments of a task are aligned at their anchors and their
 collection is built column-wise, from the right: each round inserts one symbol
 of every segment, turning the order of the suffixes that start one column to the
 right into the order at this column, and updating the collection's
-Burrows-Wheeler symbols and common prefixes. Since symbols are told apart by
+Burrows-Wheeler transform and common prefixes. Since symbols are told apart by
 column, a round only appends to the transform; a round's symbols and prefixes go
-to sequential external files, and a second sequential reading finds the windows
-whose common prefix with a neighbour reaches ``length``. Memory is one task's
-segments, bounded by ``TASK_BYTES``.
+to sequential external files. A second sequential reading rebuilds each order
+from the transform and finds the windows whose common prefix with a neighbour
+reaches ``length``. Equal segments are one row with their number of copies.
+Memory is one task's segments, bounded by ``TASK_BYTES``.
 
 Anchors with more than ``GROUP_LIMIT`` distinct contents are not gathered in a
 task: their windows are counted by 128-bit content hash, an aggregation that
@@ -44,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexora.llm.common import persist_table, shuffle_width, table
+from lexora.llm.common import drop_tables, persist_table, shuffle_width, table
 
 LENGTH, ANCHOR = 400, 200
 GROUP_LIMIT, TASK_BYTES = 20_000, 24_000_000
@@ -127,13 +128,16 @@ def repeated_windows(rows: list[tuple[int, bytes, int]], multiple: list[int], le
     group = np.unique([r[0] for r in rows], return_inverse=True)[1].astype(np.int64)
     order = np.argsort(group, kind="stable")
     lcp = np.zeros(n + 1, np.int32)  # lcp[i]: with the neighbour before; lcp[n] = 0
-    with tempfile.TemporaryFile() as symbols, tempfile.TemporaryFile() as prefixes:
+    first = order
+    with tempfile.TemporaryFile() as transform, tempfile.TemporaryFile() as prefixes:
         for t in range(width - 1, -1, -1):
-            code = np.where(mask[t, order], matrix[t, order].astype(np.int64) + 1, 0)
-            key = (group[order] << 9) | code
-            turn = np.argsort(key, kind="stable")
+            # the symbols before the ordered suffixes: this column's part of the
+            # Burrows-Wheeler transform, from which the next order follows
+            code = np.where(mask[t, order], matrix[t, order].astype(np.uint16) + 1, 0).astype(np.uint16)
+            turn = _insert(group, order, code)
             # the neighbours' common prefix: 1 + the least of those between
             same = np.zeros(n + 1, bool)
+            key = (group[order] << 9) | code
             ks = key[turn]
             same[1:n] = (ks[1:] == ks[:-1]) & (code[turn][1:] > 0)
             new = np.zeros(n + 1, np.int32)
@@ -147,21 +151,28 @@ def repeated_windows(rows: list[tuple[int, bytes, int]], multiple: list[int], le
                 cut[0::2], cut[1::2] = lo[far], hi[far] + 1
                 new[at[far]] = np.minimum.reduceat(lcp, cut)[0::2] + 1
             order, lcp = order[turn], new
-            before = matrix[t - 1, order] if t else np.zeros(n, np.uint8)
-            symbols.write(before.tobytes())
-            prefixes.write(order.astype("<i4").tobytes() + lcp.astype("<i4").tobytes())
-        prefixes.flush()
-        prefixes.seek(0)
+            transform.write(code.tobytes())
+            prefixes.write(lcp.astype("<i4").tobytes())
+        for file in (transform, prefixes):
+            file.flush()
+            file.seek(0)
         out = np.zeros((n, width), bool)
         many = np.array(multiple) > 1
-        for t in range(width - 1, -1, -1):
-            o = np.frombuffer(prefixes.read(4 * n), "<i4")
+        order = first
+        for t in range(width - 1, -1, -1):  # orders come back from the transform
+            order = order[_insert(group, order, np.frombuffer(transform.read(2 * n), np.uint16))]
             c = np.frombuffer(prefixes.read(4 * (n + 1)), "<i4")
-            hit = (c[:n] >= length) | (c[1:] >= length) | many[o]
-            out[o[hit], t] = True
+            hit = (c[:n] >= length) | (c[1:] >= length) | many[order]
+            out[order[hit], t] = True
     return out
 
 
+def _insert(group: np.ndarray, order: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Where the suffixes of an order go when these symbols come before them:
+    a stable sort by symbol within each group."""
+    return np.argsort((group[order] << 9) | code, kind="stable")
+
+
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -198,7 +209,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     )
     groups = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).where("kinds > 1 and least = 1")
     many = kinds.where("copies > 1").select("anchor", "d1", "d2", "off")
-    whole = segs.join(many, ["anchor", "d1", "d2", "off"]).select("rid", "a", F.col("z").alias("b"))
+    whole = persist_table(segs.join(many, ["anchor", "d1", "d2", "off"]).select("rid", "a", F.col("z").alias("b")), "whole")
+    drop_tables(segs)
     # contents are cut from the documents where their first copy is
     wanted = kinds.join(groups.drop("least"), "anchor").select("anchor", "off", "copies", "kinds", "at.*")
     lists = wanted.groupBy("rid").agg(F.collect_list(F.struct("anchor", "off", "copies", "kinds", "a", "z")).alias("need"))
@@ -254,13 +266,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     hot = contents.where(F.col("kinds") > group_limit).select("rid", "a", "copies", "content").mapInPandas(windows, "d1 long, d2 long, rid long, a long, copies long")
     again = hot.groupBy("d1", "d2").agg(F.sum("copies").alias("n")).where("n > 1").drop("n")
     single = hot.where("copies = 1").join(again, ["d1", "d2"]).select("rid", "a", (F.col("a") + 1).alias("b"))
-    return whole.unionByName(ordered).unionByName(single)
+    spans = persist_table(whole.unionByName(ordered).unionByName(single), "spans")
+    drop_tables(whole, kinds, contents)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, group_limit: int = GROUP_LIMIT, with_text: bool = False) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` per document,
     and with ``with_text`` the kept bytes."""
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("rid"))
+    src = persist_table(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("rid")), "numbered")
     spans = repeated_spans(src, length, anchor, group_limit)
     # lists are bounded by their document
     lists = spans.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
