@@ -5,16 +5,17 @@ Vectors are dealt into index blocks of about ``BLOCK_ROWS`` rows. A block holds
 random projections (seeded, the same in every block). A query descends each tree
 to its longest-prefix match and then all trees ascend together: at prefix length
 x the candidates are, in every tree, the rows that share x bits with the query;
-x falls until the trees hold ``candidates`` times the block's rows between them
-(a row counts once for each tree), or ``AT_LEAST`` in small blocks.
-Candidates are scored by exact Euclidean distance in double precision and the
-blocks' best are merged.
+x falls, and at the last length the trees follow one after another, until there
+are ``candidates`` times the block's rows, whatever the block's size. Candidates
+are scored by exact Euclidean distance in double precision and the blocks' best
+are merged.
 
 High-dimensional vectors with no close neighbours need many candidates: recall
-0.9 on nearly orthogonal embeddings takes the default 0.8. Lower it where neighbours
-are close. Equal vectors are one index row that keeps its k+1 smallest ids, so
-groups of copies of any size cost one row. Queries come in blocks of
-``QUERY_ROWS`` and meet index blocks by an equi-join on block numbers.
+0.9 on nearly orthogonal embeddings takes the default 0.45. Lower it where
+neighbours are close. Equal vectors are one index row that keeps its k+1 smallest
+ids, so groups of copies of any size cost one row. Queries come in parts of about
+``QUERY_ROWS`` and meet index blocks by an equi-join on block numbers; a block's
+forest is built once for each part, a small share of the part's probing.
 
 Edge cases: vectors that are null, all zero, or hold null or non-finite numbers
 take no part, as query or candidate; a query's own row is never its neighbour,
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 
 from lexora.llm.common import persist_table, table
 
-K, TREES, BITS, CANDIDATES, AT_LEAST = 10, 48, 24, 0.8, 1000
-BLOCK_ROWS, QUERY_ROWS = 8192, 4096
+K, TREES, BITS, CANDIDATES = 10, 192, 24, 0.45
+BLOCK_ROWS, QUERY_ROWS = 8192, 16384
 
 
 class Forest:
@@ -54,34 +55,57 @@ class Forest:
             self.keys.append(h[o])
 
     def _strings(self, x: np.ndarray) -> Iterator[np.ndarray]:
-        weight = 1 << np.arange(self.bits - 1, -1, -1, dtype=np.int64)
+        weight = 1 << np.arange(self.bits - 1, -1, -1, dtype=np.int32)
         for p in self.planes:
             yield ((x - self.mean) @ p > 0) @ weight
 
-    def candidates(self, q: np.ndarray, want: int) -> list[np.ndarray]:
-        """Row numbers for each query."""
+    def _ranges(self, strings: list[np.ndarray], x: int, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each tree and query, the run of rows that share x bits."""
+        shift = self.bits - x
+        lo, hi = (np.empty((len(strings), len(some)), np.int64) for _ in range(2))
+        for t, h in enumerate(strings):
+            prefix = h[some] >> shift
+            lo[t] = np.searchsorted(self.keys[t], prefix << shift)
+            hi[t] = np.searchsorted(self.keys[t], (prefix + 1) << shift)
+        return lo, hi
+
+    def candidates(self, q: np.ndarray, want: int) -> Iterator[np.ndarray]:
+        """For each query the rows that the ascent meets until there are
+        ``want`` of them (or a few more)."""
         strings = list(self._strings(q))
+        none = np.zeros((len(strings), len(q)), np.int64)
+        below, runs = (none, none), (none, none)  # one bit longer; the runs to add
         level = np.full(len(q), -1)
-        lo = np.zeros((len(strings), len(q)), np.int64)
-        hi = np.full((len(strings), len(q)), len(self.x), np.int64)
         for x in range(self.bits, -1, -1):  # ascend together
             open_ = np.flatnonzero(level < 0)
             if not len(open_):
                 break
-            shift = self.bits - x
-            for t, h in enumerate(strings):
-                prefix = h[open_] >> shift
-                lo[t, open_] = np.searchsorted(self.keys[t], prefix << shift)
-                hi[t, open_] = np.searchsorted(self.keys[t], (prefix + 1) << shift)
-            enough = (hi - lo)[:, open_].sum(0) >= want
-            level[open_[enough]] = x
-        out = []
+            lo, hi = self._ranges(strings, x, open_)
+            done = (hi - lo).sum(0) >= want
+            level[open_[done]] = x
+            runs = tuple(_put(r, open_, v) for r, v in zip(runs, (lo, hi)))
+            below = tuple(_put(r, open_[~done], v[:, ~done]) for r, v in zip(below, (lo, hi)))
         for i in range(len(q)):
             hit = np.zeros(len(self.x), bool)
-            for t, o in enumerate(self.order):
-                hit[o[lo[t, i] : hi[t, i]]] = True
-            out.append(np.flatnonzero(hit))
-        return out
+            for o, a, b in zip(self.order, below[0][:, i], below[1][:, i]):
+                hit[o[a:b]] = True
+            x, lo, hi = level[i], runs[0][:, i], runs[1][:, i]
+            while True:
+                for t, o in enumerate(self.order):
+                    hit[o[lo[t] : hi[t]]] = True
+                    if t % 16 == 15 and np.count_nonzero(hit) >= want:
+                        break
+                if x <= 0 or np.count_nonzero(hit) >= want:
+                    break
+                x -= 1
+                lo, hi = (v[:, 0] for v in self._ranges(strings, x, np.array([i])))
+            yield np.flatnonzero(hit)
+
+
+def _put(into: np.ndarray, columns: np.ndarray, values: np.ndarray) -> np.ndarray:
+    out = into.copy()
+    out[:, columns] = values
+    return out
 
 
 def usable(col: str) -> F.Column:
@@ -114,7 +138,7 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col
         if len(left) and len(right):
             x, q = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
             forest = Forest(x, trees)
-            want = max(AT_LEAST, int(np.ceil(candidates * len(x))))
+            want = max(k + 1, int(np.ceil(candidates * len(x))))
             ids = left["ids"].tolist()
             for qid, v, cand in zip(right["id"], q, forest.candidates(q, want)):
                 d = np.sqrt(((x[cand] - v) ** 2).sum(1))

@@ -178,6 +178,24 @@ def test_nearest_recall_scores_and_edges(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_nearest_recall_over_blocks(spark):
+    x = np.random.default_rng(3).standard_normal((12_000, 48)).astype("float32")
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    asked = df.where("vec_id % 200 = 0")
+    got = defaultdict(set)
+    for r in ann.nearest(df, asked).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q, found in got.items():
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(found & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert len(got) == 60 and hits / 600 >= 0.9
+    forest = ann.Forest(x[:4000].astype(float), 16)
+    want = [len(c) for c in forest.candidates(x[:30].astype(float), 400)]
+    assert min(want) >= 400 and np.mean(want) < 800  # the ascent stops near what it was asked for
+
+
 def test_sharding_splits_only_what_is_too_large(spark):
     rnd = random.Random(5)
     rows = [(i, "x" * rnd.randint(0, 400)) for i in range(500)] + [(None, None), (7, "y" * 3000), (8, "z" * 900), (8, "z" * 900)]
