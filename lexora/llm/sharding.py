@@ -12,7 +12,9 @@ directory grows with the number of shards, not with the documents.
 Edge cases: a null id hashes as the empty string; null text has 0 bytes; a
 single document above the limit, or rows that share one id and together exceed
 it, cannot be split by any bit and form one shard at the deepest level, flagged
-``oversized``. An empty table gives an empty result. Extra columns pass through.
+``oversized``. An empty table gives an empty result. Extra columns pass through;
+where one has the name of a column of the result, the result's gets a trailing
+underscore.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from lexora.llm.common import persist_table, table
 BITS = 60
 STEP = 10
 LIMIT_BYTES = 16 * 1024 * 1024
+FINE_BYTES = 128 * 1024
 
 
 def address(id_col: Column) -> Column:
@@ -33,8 +36,8 @@ def address(id_col: Column) -> Column:
 
 
 def directory(sizes: DataFrame, limit_bytes: int = LIMIT_BYTES, bits: int = BITS, step: int = STEP) -> DataFrame:
-    """``(depth, prefix, shard_bytes, shard_docs, oversized)`` of every leaf,
-    from ``sizes(address, n_bytes)``."""
+    """``(depth, prefix, shard_bytes, shard_docs, oversized, deep)`` of every
+    leaf, from ``sizes(address, n_bytes)``; ``deep`` are the bits of its pass."""
     leaves, base, level = None, None, 0
     work = sizes
     while True:
@@ -52,7 +55,7 @@ def directory(sizes: DataFrame, limit_bytes: int = LIMIT_BYTES, bits: int = BITS
         above = fits.select(F.col("depth").alias("up"), F.col("prefix").alias("up_prefix"))
         # a leaf is a fitting node whose parent does not fit
         first = fits.join(above, (F.col("up") == F.col("depth") - 1) & (F.col("up_prefix") == F.shiftright("prefix", 1)), "left_anti")
-        first = persist_table(first.withColumn("oversized", F.col("shard_bytes") > limit_bytes), "leaves")
+        first = persist_table(first.withColumn("oversized", F.col("shard_bytes") > limit_bytes).withColumn("deep", F.lit(deep)), "leaves")
         leaves = first if leaves is None else leaves.unionByName(first)
         over = cells.where(F.col("b") > limit_bytes).select("cell")
         if deep == bits or over.isEmpty():
@@ -61,32 +64,61 @@ def directory(sizes: DataFrame, limit_bytes: int = LIMIT_BYTES, bits: int = BITS
         level = deep
 
 
-def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit_bytes: int = LIMIT_BYTES) -> DataFrame:
-    """``docs`` with address, n_bytes, depth, prefix, shard (depth:prefix in
-    hex), shard_bytes, shard_docs and oversized. The directory has a few rows a
-    shard; each document finds its leaf by an equi-join on (depth, prefix) over
-    the depths in use, without a broadcast of anything that grows unchecked."""
-    sized = docs.withColumns({"address": address(F.col(id_col)), "n_bytes": F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")})
-    leaves = persist_table(directory(sized.select("address", "n_bytes"), limit_bytes), "directory")
-    depths = [r.depth for r in leaves.select("depth").distinct().orderBy("depth").collect()]  # at most 61 values
-    found = None
-    for d in depths:
-        part = leaves.where(F.col("depth") == d).drop("depth").withColumn("__cell", F.col("prefix"))
-        hit = sized.withColumn("__cell", F.shiftright("address", BITS - d)).join(part, "__cell").drop("__cell").withColumn("depth", F.lit(d))
-        found = hit if found is None else found.unionByName(hit)
-    if found is None:
-        found = sized.withColumns({"prefix": F.lit(0).cast("long"), "shard_bytes": F.lit(0).cast("long"), "shard_docs": F.lit(0).cast("long"), "oversized": F.lit(False), "depth": F.lit(0)})
-    return found.withColumn("shard", F.concat(F.lpad(F.col("depth").cast("string"), 2, "0"), F.lit(":"), F.lower(F.hex("prefix"))))
+FACTS = ["address", "n_bytes", "depth", "prefix", "shard_bytes", "shard_docs", "oversized", "shard"]
+
+
+def fact_names(columns: list[str]) -> list[str]:
+    """Names of the result's columns beside those of a table."""
+    out = []
+    for name in FACTS:
+        while name in columns:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit_bytes: int = LIMIT_BYTES, step: int = STEP) -> DataFrame:
+    """``docs`` with address, n_bytes, depth, prefix, shard_bytes, shard_docs,
+    oversized and shard (depth:prefix in hex). A pass of the directory is
+    indexed by its deepest bits, so a leaf has an entry for each cell below it,
+    and a document finds its leaf by one equi-join for each pass there was (one
+    or two, unless hashes are skewed), without a broadcast of anything that
+    grows unchecked."""
+    sizes = docs.select(address(F.col(id_col)).alias("address"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
+    leaves = persist_table(directory(sizes, limit_bytes, step=step), "directory")
+    passes = sorted(r.deep for r in leaves.select("deep").distinct().collect())  # BITS / step numbers at most
+    found = docs.withColumns({"__address": address(F.col(id_col)), "__n_bytes": F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long"), "__leaf": F.lit(None)})
+    for deep in passes:
+        below = F.lit(deep) - F.col("depth")
+        cells = F.expr(f"transform(sequence(0L, shiftleft(1L, {deep} - depth) - 1), i -> shiftleft(prefix, {deep} - depth) + i)")
+        entries = leaves.where((F.col("deep") == deep) & (below >= 0)).select(F.explode(cells).alias("__cell"), F.struct("depth", "prefix", "shard_bytes", "shard_docs", "oversized").alias("__new"))
+        found = found.withColumn("__cell", F.shiftright("__address", BITS - deep)).join(entries, "__cell", "left")
+        found = found.withColumn("__leaf", F.coalesce("__leaf", "__new") if deep != passes[0] else F.col("__new")).drop("__cell", "__new")
+    if not passes:
+        found = found.withColumn("__leaf", F.lit(None).cast("struct<depth:int,prefix:bigint,shard_bytes:bigint,shard_docs:bigint,oversized:boolean>"))
+    shard = F.concat(F.lpad(F.col("__leaf.depth").cast("string"), 2, "0"), F.lit(":"), F.lower(F.hex("__leaf.prefix")))
+    facts = [F.col("__address"), F.col("__n_bytes"), *[F.col(f"__leaf.{c}") for c in FACTS[2:7]], shard]
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns], *[c.alias(name) for c, name in zip(facts, fact_names(docs.columns))])
 
 
 def write_shards(docs: DataFrame, path: str, **kw) -> None:
     """One folder per shard; a shard is bounded by its byte limit."""
-    assign(docs, **kw).repartition("shard").write.partitionBy("shard").parquet(path)
+    name = fact_names(docs.columns)[-1]
+    assign(docs, **kw).repartition(name).write.partitionBy(name).parquet(path)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return assign(docs).select("doc_id", "n_bytes", F.col("depth").cast("long").alias("depth"), "prefix", "shard_bytes", "shard_docs", "oversized")
+    return _digest(docs)
+
+
+def _digest(docs: DataFrame, **kw) -> DataFrame:
+    return assign(docs, **kw).select("doc_id", "n_bytes", F.col("depth").cast("long").alias("depth"), "prefix", "shard_bytes", "shard_docs", "oversized")
+
+
+def sharding_fine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a limit at which small tables split too."""
+    return _digest(table(spark, sf_dir, "documents").select("doc_id", "text"), limit_bytes=FINE_BYTES)
 
 
 def oracle(limit_bytes: int = LIMIT_BYTES, depths: int = 24) -> str:
@@ -100,5 +132,5 @@ FROM p JOIN s USING (depth, prefix) WHERE shard_bytes <= {limit_bytes}
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1"""
 
 
-QUERIES = {"op3_sharding": op3_sharding}
-ORACLE = {"op3_sharding": oracle()}
+QUERIES = {"op3_sharding": op3_sharding, "sharding_fine": sharding_fine}
+ORACLE = {"op3_sharding": oracle(), "sharding_fine": oracle(FINE_BYTES)}

@@ -213,6 +213,13 @@ def test_sharding_splits_only_what_is_too_large(spark):
         if depth:  # the parent did not fit
             assert sum(r.n_bytes for r in got if r.address >> (61 - depth) == prefix >> 1) > 1500
     assert sharding.assign(df.limit(0)).count() == 0
+    few = sharding.assign(df, limit_bytes=1500, step=3)  # several passes
+    key = lambda r: (r.doc_id or 0, r.n_bytes, r.shard)
+    assert sorted(map(key, few.collect())) == sorted(map(key, got))
+    clash = df.limit(5).withColumns({"prefix": F.lit("p"), "n_bytes": F.lit("n"), "shard": F.lit("s"), "depth": F.lit("d")})
+    out = sharding.assign(clash)
+    assert out.columns == [*clash.columns, "address", "n_bytes_", "depth_", "prefix_", "shard_bytes", "shard_docs", "oversized", "shard_"]
+    assert {(r.prefix, r.n_bytes, r.shard, r.depth) for r in out.collect()} == {("p", "n", "s", "d")}
 
 
 def plain_targets(sizes):
