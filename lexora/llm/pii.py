@@ -39,11 +39,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexora.llm.common import persist_table, table
+from lexora.llm.common import persist_table, release, table, text_slices
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 ALPHA, SUPPORT, WINDOW = 0.95, 3, 60
@@ -119,6 +121,11 @@ def entities(kind: str, said: str) -> list[int]:
     return [_hash(x) for x in names]
 
 
+def _terms(text: str) -> set[str]:
+    """Terms of a text, each lower-cased on its own."""
+    return {t.lower() for t in set(_TERM.findall(text))}
+
+
 def near_terms(text: str, spans: list[tuple[int, int, str]], window: int) -> dict[int, set[str]]:
     """Terms close to each entity of a text, outside all spans."""
     out: dict[int, set[str]] = {}
@@ -194,7 +201,7 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", alpha: float = ALP
             for text in b["text"]:
                 rows += 1
                 if text:
-                    seen.update(t for t in set(_TERM.findall(text.lower())) if maybe[t])
+                    seen.update(t for t in _terms(text) if maybe[t])
             if len(seen) > 200_000:
                 yield pd.DataFrame({"term": list(seen.keys()), "n_t": list(seen.values())})
                 seen.clear()
@@ -227,7 +234,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 spans = base_spans(text)
                 n = Counter(k for _, _, k in spans)
                 may: list[dict] = []
-                if text and any(maybe[t] for t in set(_TERM.findall(text.lower()))):
+                if text and any(maybe[t] for t in _terms(text)):
                     edge = [(s, e) for s, e, _ in spans]
                     for m in _TERM.finditer(text):
                         if maybe[t := m[0].lower()] and not any(m.start() < e and m.end() > s for s, e in edge):
@@ -250,7 +257,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.join(sure, "rid", "left").select(id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.array_join(every, ",").alias("spans"), "rid")
 
 
-def rewrite(text: str | None, spans: str) -> str | None:
+def rewrite(text: str | None, spans: str | None) -> str | None:
     """Spans replaced by their kind in capitals; overlapping ones as one."""
     if not text or not spans:
         return text
@@ -265,21 +272,33 @@ def rewrite(text: str | None, spans: str) -> str | None:
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """``docs`` with all spans generalised, same rows and columns. Spans depend
-    on the text alone, so documents meet them by id and text hash."""
+    """``docs`` with all spans generalised, same rows and columns; an integer
+    column ``n_chars`` is counted anew. Spans depend on the text alone, so
+    documents meet them by id and text hash."""
     keyed = persist_table(docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(text_col, F.lit("")))), "keyed")
     spans = find_spans(keyed, "__h", text_col, **kw).where("spans <> ''").groupBy("__h").agg(F.first("spans").alias("__spans"))
     full = keyed.join(spans, "__h", "left").drop("__h")
     out = docs.schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b[text_col] = [rewrite(t, s) if isinstance(s, str) else t for t, s in zip(b[text_col], b["__spans"])]
-            if "n_chars" in b:
-                b["n_chars"] = [None if t is None else len(t) for t in b[text_col]]
-            yield b.drop(columns="__spans")
-
-    return full.mapInPandas(run, out)
+    names = docs.columns
+    counted = [c for c in ("n_chars",) if c in names and out[c].dataType.typeName() in ("long", "integer")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for b in batches:
+                at = b.schema.names.index
+                column = dict(zip(b.schema.names, b.columns))
+                texts: list[str | None] = []
+                for part in text_slices(column[text_col], 4_000_000):
+                    texts += map(rewrite, part.to_pylist(), column["__spans"].slice(len(texts), len(part)).to_pylist())
+                column[text_col] = pa.array(texts, b.column(at(text_col)).type)
+                for c in counted:
+                    column[c] = pc.utf8_length(column[text_col]).cast(b.column(at(c)).type)
+                yield pa.RecordBatch.from_arrays([column[c] for c in names], names)
+        finally:
+            release()
+
+    return full.mapInArrow(run, out)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Rolling hashes of several word n-gram lengths, computed in numpy over the
 UTF-8 bytes of a document, give the share of word characters that lie inside
 duplicated n-grams; duplicated lines are measured the same way. The operator
-is row-local: no shuffle, and memory is one Arrow batch of documents.
+is row-local: no shuffle, and memory is one Arrow batch of documents and one
+text's arrays.
 
 Edge cases: a null or empty text has no words and fails the base rule; a text
 without line breaks is one line; lines without a word never count; repeated
@@ -16,10 +17,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lexora.llm.common import table
+from lexora.llm.common import release, table, text_slices
 
 #: Fixed values of the published repetition rules: highest share of characters
 #: inside duplicated n-grams of n words, and inside duplicated lines.
@@ -122,6 +123,8 @@ def measure(text: str | None, rules: QualityRules = QualityRules()) -> dict:
 
 
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, line_share double, gram_share array<double>"
+TYPES = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64(), pa.list_(pa.float64())]
+GROUP_BYTES = 4_000_000  # of texts that are Python strings at a time
 
 
 def quality_figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: QualityRules = QualityRules()) -> DataFrame:
@@ -129,24 +132,31 @@ def quality_figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     src = docs.select(docs[id_col].alias(id_col), docs[text_col].alias("__text"))
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [measure(t, rules) for t in b["__text"]]
-            out = pd.DataFrame({k: [r[k] for r in rows] for k in names})
-            out.insert(0, id_col, b[id_col].to_numpy())
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for b in batches:
+                rows = [measure(t, rules) for part in text_slices(b.column(1), GROUP_BYTES) for t in part.to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[k] for r in rows], t) for k, t in zip(names, TYPES)]], [id_col, *names])
+        finally:
+            release()
 
-    return src.mapInPandas(run, f"{id_col} {src.schema[id_col].dataType.simpleString()}, {SCHEMA}")
+    return src.mapInArrow(run, f"{id_col} {src.schema[id_col].dataType.simpleString()}, {SCHEMA}")
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: QualityRules = QualityRules()) -> DataFrame:
     """The documents that pass, with all their columns, untouched."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b[[measure(t, rules)["kept"] for t in b[text_col]]] if len(b) else b
+    at = docs.columns.index(text_col)
 
-    return docs.mapInPandas(run, docs.schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for b in batches:
+                keep = [measure(t, rules)["kept"] for part in text_slices(b.column(at), GROUP_BYTES) for t in part.to_pylist()]
+                yield b.filter(pa.array(keep, pa.bool_()))
+        finally:
+            release()
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,6 +123,18 @@ def test_disclosing_terms(spark):
     assert not any("zeb@" in (t or "") or "please" in (t or "") for t in clean.values())
 
 
+def test_sanitise_keeps_other_columns(spark):
+    big = (1 << 60) + 1
+    rows = [(None, "a@b.cd and x", 5, None, big), (1, None, None, "s", None), (1, "plain ΟΔΟΣ İx text", 7, "s", big), (1, "plain ΟΔΟΣ İx text", 7, "s", big)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, spans string, rid long")
+    got = pii.sanitise(docs)
+    assert got.dtypes == docs.dtypes
+    strip = lambda rs: sorted(tuple(map(str, r)) for r in rs)
+    assert strip(got.collect()) == strip([(None, "EMAIL and x", 11, None, big), (1, None, None, "s", None), (1, rows[2][1], 18, "s", big), (1, rows[2][1], 18, "s", big)])
+    assert pii.sanitise(docs.limit(0)).count() == pii.find_spans(docs.limit(0)).count() == 0
+    assert pii._terms("ΟΔΟΣ ΟΔΟΣ") == {"ΟΔΟΣ".lower()}
+
+
 def test_terms_beside_entities_of_one_text(spark):
     names = ["Quillon", "Vasterby", "Ombrecht", "Tarwinkel", "Ysolde"]
     filler = [f"word{'abcdefghij'[i % 10]} and the other day with plenty of rest" for i in range(300)]
