@@ -19,11 +19,12 @@ document, becomes a span of kind ``term``; sanitising replaces it by the general
 word TERM, and pattern spans by their kind.
 
 Scale: three passes over the text, none of which shuffles it. Pass 1 counts
-(entity, term) pairs; pass 2 counts document frequencies of candidate terms,
-found through a bit array of fixed size (``BITS``) in the closure and confirmed
-by an exact join; pass 3 emits pattern spans, and positions of possible terms
-that are confirmed the same way. All counts combine map-side. Entities and terms
-stay distributed.
+(entity, term) pairs; pairs that would fail even if the term were nowhere else
+are dropped. Pass 2 counts document frequencies of the terms left, found through
+a bit array of fixed size (``BITS``) in the closure and confirmed by an exact
+join. Pass 3 emits spans: up to ``TERMS_SENT`` disclosing terms go to the tasks;
+beyond that it emits positions of possible terms, confirmed by a join. All
+counts combine map-side.
 
 Edge cases: null and empty text have no spans; of overlapping spans of different
 kinds all pattern spans stay and a term inside a pattern span is not reported;
@@ -45,12 +46,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexora.llm.common import persist_table, release, table, text_slices
+from lexora.llm.common import drop_tables, persist_table, release, table, text_slices
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 ALPHA, SUPPORT, WINDOW = 0.95, 3, 60
 RATIO = 10.83  # chi-square of one degree of freedom at 0.001
 BITS = 1 << 22
+#: Disclosing terms that travel in the task closure, some 30 MB; beyond that
+#: their positions are confirmed by joins. Bytes of texts held as strings.
+TERMS_SENT, GROUP_BYTES = 500_000, 4_000_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -191,41 +195,79 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", alpha: float = ALP
     # per text first, so that copies count once for support, all for n_ct
     per_text = src.mapInPandas(pairs, "entity long, term string, h long").groupBy("entity", "term", "h").agg(F.count("*").alias("k"))
     counts = persist_table(per_text.groupBy("entity", "term").agg(F.sum("k").alias("n_ct"), F.count("*").alias("texts")), "pairs")
-    candidates = counts.where("term <> ''")
+    total = docs.count()
+    n = F.lit(float(total))
+    held = counts.where("term = ''").select("entity", F.col("n_ct").alias("n_c"), F.col("texts").alias("c_texts"))
+
+    def disclosing(scored: DataFrame) -> DataFrame:
+        pmi = F.log(F.col("n_ct") * n / (F.col("n_c") * F.col("n_t")))
+        once = F.col("n_t") * F.col("texts") / F.col("n_ct")  # the term's documents, less the copies
+        borne = (F.col("texts") >= support) | (_likelihood_ratio(F.col("texts"), once, F.col("c_texts"), n) >= ratio)
+        return scored.where((F.col("n_c") < total) & (pmi >= alpha * F.log(n / F.col("n_c"))) & borne)
+
+    # a term is in at least as many documents as it is near one entity in; both
+    # conditions only get harder with its frequency, so what fails here is out
+    near = counts.where("term <> ''")
+    least = near.groupBy("term").agg(F.max("n_ct").alias("n_t"))
+    candidates = persist_table(disclosing(near.join(least, "term").join(held, "entity")).drop("n_t"), "candidates")
     maybe_bits = _bits(candidates)
 
     def freq(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         maybe, seen = _Maybe(maybe_bits), Counter()
-        rows = 0
         for b in batches:
             for text in b["text"]:
-                rows += 1
                 if text:
                     seen.update(t for t in _terms(text) if maybe[t])
             if len(seen) > 200_000:
                 yield pd.DataFrame({"term": list(seen.keys()), "n_t": list(seen.values())})
                 seen.clear()
-        yield pd.DataFrame({"term": ["", *seen.keys()], "n_t": [rows, *seen.values()]})
+        yield pd.DataFrame({"term": list(seen.keys()), "n_t": list(seen.values())}).astype({"n_t": "int64", "term": "object"})
 
     freqs = persist_table(src.mapInPandas(freq, "term string, n_t long").groupBy("term").agg(F.sum("n_t").alias("n_t")), "freqs")
-    total = freqs.where("term = ''").agg(F.sum("n_t")).first()[0] or 0
-    held = counts.where("term = ''").select("entity", F.col("n_ct").alias("n_c"), F.col("texts").alias("c_texts"))
-    scored = candidates.join(freqs, "term").join(held, "entity").where(F.col("n_c") < total)
-    n = F.lit(float(total))
-    pmi = F.log(F.col("n_ct") * n / (F.col("n_c") * F.col("n_t")))
-    once = F.col("n_t") * F.col("texts") / F.col("n_ct")  # the term's documents, less the copies
-    borne = (F.col("texts") >= support) | (_likelihood_ratio(F.col("texts"), once, F.col("c_texts"), n) >= ratio)
-    return persist_table(scored.where((pmi >= alpha * F.log(n / F.col("n_c"))) & borne).select("term").distinct(), "terms")
+    terms = persist_table(disclosing(candidates.join(freqs, "term")).select("term").distinct(), "terms")
+    drop_tables(counts, candidates, freqs)
+    return terms
+
+
+def known_terms(terms: DataFrame) -> frozenset[str] | None:
+    """The terms themselves, if at most ``TERMS_SENT``; else they stay where
+    they are and positions are confirmed by joins."""
+    return frozenset(terms.toPandas()["term"]) if terms.count() <= TERMS_SENT else None
+
+
+def term_spans(text: str | None, base: list[tuple[int, int, str]], terms: frozenset[str]) -> list[tuple[int, int, str]]:
+    """Occurrences of terms outside the spans of the patterns."""
+    if not text or not terms or _terms(text).isdisjoint(terms):
+        return []
+    return [(m.start(), m.end(), "term") for m in _TERM.finditer(text) if m[0].lower() in terms and not any(m.start() < e and m.end() > s for s, e, _ in base)]
 
 
-def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: DataFrame | None = None, **kw) -> DataFrame:
     """Per document: id, counts per base kind, base_sha256, spans, and ``rid``,
     the row's number in the scan."""
-    terms = disclosing_terms(docs, text_col, **kw)
-    bits = _bits(terms)
+    terms = disclosing_terms(docs, text_col, **kw) if terms is None else terms
+    exact = known_terms(terms)
     src = docs.select(docs[id_col].alias(id_col), docs[text_col].alias("text"), F.monotonically_increasing_id().alias("rid"))
     kind = src.schema[id_col].dataType.simpleString()
 
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for b in batches:
+                rows = []
+                for part in text_slices(b.column(1), GROUP_BYTES):
+                    for text in part.to_pylist():
+                        base = base_spans(text)
+                        n = Counter(k for _, _, k in base)
+                        rows.append((*(n[k] for k in KINDS[:4]), hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + term_spans(text, base, exact))))
+                columns = list(zip(*rows)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.string()] * 2)], b.column(2)], [id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "rid"])
+        finally:
+            release()
+
+    if exact is not None:
+        return src.mapInArrow(whole, f"{id_col} {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, rid long").select(id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "rid")
+    bits = _bits(terms)
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         maybe = _Maybe(bits)
         for b in batches:
@@ -275,9 +317,12 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """``docs`` with all spans generalised, same rows and columns; an integer
     column ``n_chars`` is counted anew. Spans depend on the text alone, so
     documents meet them by id and text hash."""
-    keyed = persist_table(docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(text_col, F.lit("")))), "keyed")
-    spans = find_spans(keyed, "__h", text_col, **kw).where("spans <> ''").groupBy("__h").agg(F.first("spans").alias("__spans"))
-    full = keyed.join(spans, "__h", "left").drop("__h")
+    exact = known_terms(terms := disclosing_terms(docs, text_col, **kw))
+    full = docs.withColumn("__spans", F.lit(None).cast("string"))
+    if exact is None:  # spans come by a join
+        keyed = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(text_col, F.lit(""))))
+        spans = find_spans(keyed, "__h", text_col, terms=terms, **kw).where("spans <> ''").groupBy("__h").agg(F.first("spans").alias("__spans"))
+        full = keyed.join(spans, "__h", "left").drop("__h")
     out = docs.schema
 
     names = docs.columns
@@ -289,8 +334,13 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
                 at = b.schema.names.index
                 column = dict(zip(b.schema.names, b.columns))
                 texts: list[str | None] = []
-                for part in text_slices(column[text_col], 4_000_000):
-                    texts += map(rewrite, part.to_pylist(), column["__spans"].slice(len(texts), len(part)).to_pylist())
+                for part in text_slices(column[text_col], GROUP_BYTES):
+                    said = part.to_pylist()
+                    if exact is None:
+                        spans = column["__spans"].slice(len(texts), len(part)).to_pylist()
+                    else:
+                        spans = [joined((base := base_spans(t)) + term_spans(t, base, exact)) for t in said]
+                    texts += map(rewrite, said, spans)
                 column[text_col] = pa.array(texts, b.column(at(text_col)).type)
                 for c in counted:
                     column[c] = pc.utf8_length(column[text_col]).cast(b.column(at(c)).type)

@@ -91,7 +91,9 @@ def test_base_spans_match_the_patterns(spark):
         assert pii.base_spans(t) == plain_spans(t), t
 
 
-def test_disclosing_terms(spark):
+@pytest.mark.parametrize("sent", [pii.TERMS_SENT, 0])
+def test_disclosing_terms(spark, sent, monkeypatch):
+    monkeypatch.setattr(pii, "TERMS_SENT", sent)
     filler = [f"word{'abcdefghij'[i % 10]} and the other day number {i}" for i in range(60)]
     name = [f"{p} please write to Zebulon at zeb@site.org and the rest {p}" for p in ("one", "two", "three", "four")]
     texts = ODD[:3] + filler + name + ["Zebulon alone in a text", name[0]]
