@@ -1,9 +1,10 @@
 """Morphological annotations: a windowed parser of numbered lines, features per
 song and tables per cohort.
 
-``lines(file, ln, line)`` holds numbered lines. The parser's states depend only
-on running counts within a file, so they are windows over one sort by (file, ln)
-that all of them share.
+``lines(file, ln, line)`` holds numbered lines. The parser's states are reset at
+each title, so only the number of titles so far needs the whole file: titles are
+counted per ``RANGE`` lines, and the rest are running counts within a song, over
+one sort that they share. A file is thus read by many tasks.
 """
 
 from __future__ import annotations
@@ -24,12 +25,22 @@ SUMMARY_POS = [*POS, "PART"]
 SELECTED = ["Person=1", "Person=2", "Person=3", "Tense=Past", "Tense=Pres", "Tense=Fut", "Number=Sing", "Number=Plur", "Number=Dual", "Gender=Masc", "Gender=Fem", "Voice=Act", "Voice=Mid", "Voice=Pass", "VerbForm=Inf", "VerbForm=Part", "Mood=Imp"]
 COUNTERS = ["song_title_lines", "artist_continuation_lines", "token_rows_before_first_song", "title_sentence_token_rows_skipped", "multi_token_rows_skipped", "decimal_token_rows_skipped", "non_integer_token_rows_skipped", "short_token_rows", "processed_token_rows", "songs_parsed"]
 
+#: Fixed patterns of the two kinds of heading lines.
 _TITLE = r"^#\s*text\s*=\s*###\s*(.+?)\s*$"
 _ARTIST = r"^#\s*text\s*=\s*/\s*(.+?)\s*$"
 
+RANGE = 100_000
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(_SPACE))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once a row: filters and later
+    projections see a generator's output and do not repeat the expressions."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
 
 
 def title_parts(payload: Column) -> tuple[Column, Column]:
@@ -41,25 +52,32 @@ def title_parts(payload: Column) -> tuple[Column, Column]:
 
 def classify_lines(lines: DataFrame) -> DataFrame:
     """Lines with song number, kind and whether a token row is kept."""
-    s = _strip(F.col("line"))
-    d = lines.withColumn("title", F.regexp_extract(s, _TITLE, 1)).withColumn("is_title", F.col("title") != "")
-    title, artist = title_parts(F.col("title"))
-    d = d.withColumns({"title": title, "artist": artist, "again": F.regexp_extract(s, _ARTIST, 1)})
-    by_line = Window.partitionBy("file").orderBy("ln")
-    d = d.withColumn("song", F.sum(F.col("is_title").cast("int")).over(by_line))
-    in_song = Window.partitionBy("file", "song").orderBy("ln")
-    d = d.withColumn("blank_artist", F.first("artist").over(in_song) == "")
-    maybe = ~F.col("is_title") & (F.col("again") != "") & (F.col("song") > 0) & F.col("blank_artist")
-    d = d.withColumn("nth", F.sum(maybe.cast("int")).over(in_song)).withColumn("is_artist", maybe & (F.col("nth") == 1))
-    d = d.withColumn("seg", F.sum((F.col("is_title") | F.col("is_artist")).cast("int")).over(by_line))
+    s = F.col("s")
     note = F.col("line").startswith("#")
-    d = d.withColumn("blank", (s == "")).withColumn("token_row", ~F.col("is_title") & ~F.col("is_artist") & ~note & (s != ""))
-    seg = Window.partitionBy("file", "seg").orderBy("ln")
-    d = d.withColumn("tokens_before", F.coalesce(F.sum(F.col("token_row").cast("int")).over(seg.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    closes = F.col("blank") & (F.col("tokens_before") > 0)
-    d = d.withColumn("open", F.coalesce(F.sum(closes.cast("int")).over(seg), F.lit(0)) > 0)
-    f = F.split("line", "\t")
-    d = d.withColumn("f", f).withColumn("id", F.trim(f[0]))
+    d = once(lines, s=_strip(F.col("line")))
+    d = once(d, t=F.when(s.startswith("#"), F.regexp_extract(s, _TITLE, 1)).otherwise(""), again=F.when(s.startswith("#"), F.regexp_extract(s, _ARTIST, 1)).otherwise(""))
+    title, artist = (F.when(F.col("t") != "", x).otherwise("") for x in title_parts(F.col("t")))
+    d = once(d.withColumns({"is_title": F.col("t") != "", "range": F.floor(F.col("ln") / RANGE)}), title=title, artist=artist).drop("t")
+    # titles before a range of lines: one row for each range of a file
+    heads = once(lines.where(F.col("line").contains("#")).select("file", F.floor(F.col("ln") / RANGE).alias("range"), _strip(F.col("line")).alias("s")), t=F.regexp_extract("s", _TITLE, 1))
+    heads = heads.where("t <> ''").groupBy("file", "range").agg(F.count("*").alias("titles"))
+    ranges = d.select("file", "range").distinct().join(heads, ["file", "range"], "left").fillna(0, ["titles"])
+    ranges = ranges.withColumn("base", F.sum("titles").over(Window.partitionBy("file").orderBy("range")) - F.col("titles")).drop("titles")
+    upto = lambda w: w.orderBy("ln").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("song", F.sum(F.col("is_title").cast("int")).over(upto(Window.partitionBy("file", "range"))))
+    d = d.join(ranges, ["file", "range"]).withColumn("song", F.col("song") + F.col("base")).drop("range", "base")
+    run = upto(Window.partitionBy("file", "song"))
+    since = lambda c, mark: F.col(c) - F.coalesce(F.last(F.when(mark, F.col(c)), ignorenulls=True).over(run), F.lit(0))
+    maybe = ~F.col("is_title") & (F.col("again") != "") & (F.col("song") > 0) & (F.first("artist").over(run) == "")
+    d = d.withColumn("maybe", maybe).withColumn("nth", F.sum(F.col("maybe").cast("int")).over(run))
+    d = d.withColumn("is_artist", F.col("maybe") & (F.col("nth") == 1))
+    # token rows and blank lines since the last heading line
+    heading = F.col("is_title") | F.col("is_artist")
+    d = d.withColumn("blank", s == "").withColumn("token_row", ~heading & ~note & (s != ""))
+    d = d.withColumn("rows", F.sum(F.col("token_row").cast("int")).over(run))
+    d = d.withColumn("closes", F.col("blank") & (since("rows", heading) > 0)).withColumn("closed", F.sum(F.col("closes").cast("int")).over(run))
+    d = d.withColumn("open", since("closed", heading) > 0).drop("maybe", "nth", "rows", "closes", "closed")
+    d = once(once(d, f=F.split("line", "\t")), id=F.trim(F.col("f")[0]))
     kind = (
         F.when(F.col("is_title"), "song_title_lines").when(F.col("is_artist"), "artist_continuation_lines").when(~F.col("token_row"), "other")
         .when(F.col("song") == 0, "token_rows_before_first_song").when(~F.col("open"), "title_sentence_token_rows_skipped")
@@ -90,14 +108,19 @@ def tokens(classified: DataFrame) -> DataFrame:
     """Kept token rows with their fields and parsed features."""
     get = lambda i: F.coalesce(F.get("f", F.lit(i)), F.lit(""))
     d = classified.where("kind = 'processed_token_rows'").select("file", "song", "ln", get(1).alias("form"), get(2).alias("lemma"), F.upper(get(3)).alias("upos"), F.upper(get(4)).alias("xpos"), get(5).alias("raw"))
-    d = d.withColumn("feats", parse_feats(F.col("raw")))
+    d = once(d, feats=parse_feats(F.col("raw")))
     note = F.exists("feats", lambda p: (p["key"] == "DictaNote") & (p["value"] == "Unknown"))
     bare = F.trim("lemma").isin("", "_") & ~F.col("upos").isin("PUNCT", "")
     return d.withColumn("is_unknown", (F.col("upos") == "X") | (F.col("xpos") == "X") | note | bare)
 
 
 def _has(key: str, value: str) -> Column:
-    return F.array_contains("feats", F.struct(F.lit(key).alias("key"), F.lit(value).alias("value")))
+    """By the pairs of ``_said``; a key has no "=" and neither part a "|"."""
+    return F.contains(F.col("__said"), F.lit(f"|{key}={value}|"))
+
+
+def _said(feats: str) -> Column:
+    return F.concat(F.lit("|"), F.array_join(F.transform(feats, lambda p: F.concat(p["key"], F.lit("="), p["value"])), "|"), F.lit("|"))
 
 
 def song_features(toks: DataFrame, by: list[str]) -> DataFrame:
@@ -106,7 +129,7 @@ def song_features(toks: DataFrame, by: list[str]) -> DataFrame:
     known = np_ & ~F.col("is_unknown") & (F.col("upos") != "X")
     lemma = F.when(known, F.nullif(match_key(F.col("lemma")), F.lit("")))
     roots = F.when(known, F.filter(F.transform(F.filter("feats", lambda p: p["key"] == "HebRoot"), lambda p: p["value"]), lambda r: r != ""))
-    d = toks.withColumn("__lemma", lemma).withColumn("__roots", roots)
+    d = once(toks, __lemma=lemma, __roots=roots, __said=_said("feats"))
     aggs: dict[str, Column] = {"dicta_token_count": F.count("*"), "dicta_non_punct_token_count": F.count_if(np_), "__vl": F.count_if(vl), "dicta_content_token_count": F.count_if(F.col("upos").isin(*CONTENT))}
     over_np = {f"pos_{p.lower()}": F.col("upos") == p for p in POS} | {k: np_ & _has(*v) for k, v in NOMINAL.items()} | {"dicta_unknown_token": np_ & F.col("is_unknown"), "dicta_x_pos": F.col("upos") == "X"}
     over_vl = {k: vl & _has(*v) for k, v in TENSE.items()} | {f"binyan_{k}": vl & _has("HebBinyan", v) for k, v in BINYAN.items()}
@@ -126,8 +149,7 @@ def song_features(toks: DataFrame, by: list[str]) -> DataFrame:
 
 
 def cohort_tokens(lines: DataFrame, cohort: Column) -> DataFrame:
-    f = F.split(_strip(F.col("line")), "\t")
-    d = lines.where(~F.col("line").startswith("#")).select(cohort.alias("cohort"), f.alias("f")).where(F.size("f") >= 4)
+    d = once(lines.where(~F.col("line").startswith("#")).select(cohort.alias("cohort"), "line"), f=F.split(_strip(F.col("line")), "\t")).where(F.size("f") >= 4)
     d = d.where(~F.col("f")[0].contains("-") & ~F.col("f")[0].contains(".") & ~F.col("f")[3].isin("PUNCT", "X", "_"))
     return d.select("cohort", F.col("f")[1].alias("form"), F.col("f")[2].alias("lemma"), F.col("f")[3].alias("upos"), F.coalesce(F.get("f", F.lit(5)), F.lit("_")).alias("raw"))
 

@@ -3,6 +3,8 @@ and durable intermediate tables."""
 
 from __future__ import annotations
 
+import json
+import re
 import tempfile
 import uuid
 
@@ -20,9 +22,15 @@ def write_and_read(df: DataFrame, what: str) -> DataFrame:
     """Cut lineage with a Parquet table in the folder that executors share."""
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    if not at and held.isDefined():
+        at = held.get()
+    if not at and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="lexora-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        sc.setCheckpointDir(at)
     path = f"{at.rstrip('/')}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -61,13 +69,38 @@ def read_lines(spark: SparkSession, cohorts: dict[str, list[str]]) -> DataFrame:
     return out
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """One CSV part for small result tables; Parquet serves between stages."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, bom: bool = True) -> None:
+    """One CSV part for small result tables, in UTF-8 with a byte order mark on
+    its first column name; Parquet serves between stages."""
+    if bom and df.columns:
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
+    df.coalesce(1).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").json(path)
+def summary_json(parts: dict[str, DataFrame | int | float | str | list]) -> str:
+    """A nested summary as JSON text (indented, characters as they are). Small
+    result tables become lists of their rows, in order; a one-row table with
+    a single column becomes its value."""
+
+    def plain(v):
+        if not isinstance(v, DataFrame):
+            return v
+        rows = [r.asDict(recursive=True) for r in v.collect()]  # summary tables: a row per feature, class or model
+        return rows[0][v.columns[0]] if len(rows) == 1 and len(v.columns) == 1 else rows
+
+    return json.dumps({k: plain(v) for k, v in parts.items()}, ensure_ascii=False, indent=2, default=str)
+
+
+def write_json(spark: SparkSession, parts: dict, path: str) -> None:
+    """The summary as one text file in any store that Spark writes."""
+    spark.createDataFrame([(summary_json(parts),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def plot_rows(means: DataFrame, features: list[str]) -> DataFrame:
+    """What a grouped bar plot shows: ``(feature, cohort, mean)`` of the asked
+    features, in their order."""
+    at = F.array_position(F.array(*map(F.lit, features)), F.col("feature"))
+    return means.where(F.col("feature").isin(*features)).orderBy(at, "cohort").select("feature", "cohort", "mean")
 
 
 def write_cohort_texts(parts: DataFrame, cohort: str, path: str) -> None:
