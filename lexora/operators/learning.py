@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Pipeline
 from pyspark.ml import classification as C
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexora.functions.text import safe_divide, terms
+from lexora.sources.tables import write_and_read
 
 SEED = 42
 
@@ -37,16 +36,27 @@ def tfidf(counts: DataFrame, vocab: DataFrame, keys: list[str], sublinear: bool
     return raw.select(*keys, "term", (F.col("w") / norm).alias("weight"))
 
 
-def stratified_fold(key: Column, label: str, folds: int = 5, seed: int = SEED) -> Column:
-    """Fold 0..folds-1, balanced in each class, by a seeded hash order."""
-    w = Window.partitionBy(label).orderBy(F.md5(F.concat_ws("-", key.cast("string"), F.lit(str(seed)))), key)
-    return F.pmod(F.row_number().over(w) - 1, F.lit(folds)).cast("long")
+def ranked(df: DataFrame, key: str, label: str, seed: int = SEED) -> DataFrame:
+    """``df`` with ``__rank`` (from 0) in its class by a seeded hash order, and
+    ``__size`` of the class. Ranks go through buckets of the hash, so no window
+    holds a whole class."""
+    d = df.withColumn("__h", F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))))).withColumn("__b", F.substring("__h", 1, 2))
+    sums = d.groupBy(F.col(label).alias("__label"), F.col("__b").alias("__bucket")).agg(F.count("*").alias("__n"))
+    by = Window.partitionBy("__label")  # 256 rows for each class
+    sums = sums.select("__label", "__bucket", (F.sum("__n").over(by.orderBy("__bucket")) - F.col("__n")).alias("__base"), F.sum("__n").over(by).alias("__size"))
+    d = d.withColumn("__in", F.row_number().over(Window.partitionBy(label, "__b").orderBy("__h", key)) - 1)
+    d = d.join(sums, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__b") == F.col("__bucket")))
+    return d.withColumn("__rank", F.col("__base") + F.col("__in")).drop("__h", "__b", "__label", "__bucket", "__base", "__in")
 
 
-def holdout(key: Column, label: str, share: float = 0.2, seed: int = SEED) -> Column:
-    by = Window.partitionBy(label)
-    order = by.orderBy(F.md5(F.concat_ws("-", key.cast("string"), F.lit(str(seed)))), key)
-    return F.row_number().over(order) <= F.ceil(share * F.count("*").over(by))
+def with_fold(df: DataFrame, key: str, label: str, folds: int = 5, seed: int = SEED) -> DataFrame:
+    """``df`` with its fold 0..folds-1, balanced in each class."""
+    return ranked(df, key, label, seed).withColumn("fold", F.pmod("__rank", F.lit(folds)).cast("long")).drop("__rank", "__size")
+
+
+def with_holdout(df: DataFrame, key: str, label: str, share: float = 0.2, seed: int = SEED, name: str = "held_out") -> DataFrame:
+    """``df`` with a flag on the same share of each class."""
+    return ranked(df, key, label, seed).withColumn(name, F.col("__rank") < F.ceil(share * F.col("__size"))).drop("__rank", "__size")
 
 
 def scale_by_training(df: DataFrame, columns: list[str], fold: str = "fold") -> DataFrame:
@@ -142,7 +152,7 @@ def cross_validate(df: DataFrame | list[DataFrame], model, label: str, key: str,
     each = df if isinstance(df, list) else [df]
     indexer = StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc").fit(each[0])
     names = F.array(*[F.lit(x) for x in indexer.labels])
-    each = [indexer.transform(x).cache() for x in each]
+    each = [write_and_read(indexer.transform(x).select("fold", key, label, "__y", "features"), "cv") for x in each]
 
     def one(k: int) -> DataFrame:
         data = each[k % len(each)]
@@ -167,8 +177,6 @@ def nmf(weights: DataFrame, key: str, topics: int = 8, rounds: int = 10, seed: i
     """Non-negative factors by multiplicative updates on a long table: (key,
     w array) and (term, h array). Each half-round is two equi-joins with sums;
     only topics x topics products reach the driver."""
-    from lexora.sources.tables import write_and_read
-
     draw = lambda c: F.transform(F.sequence(F.lit(0), F.lit(topics - 1)), lambda i: F.pmod(F.xxhash64(c, i, F.lit(seed)), F.lit(1000)) / 1000.0 + 0.01)
     v = write_and_read(weights.select(key, "term", "weight"), "nmf")
     w = v.select(key).distinct().withColumn("w", draw(F.col(key)))
@@ -195,6 +203,3 @@ def importances(df: DataFrame, columns: list[str], label: str, trees: int = 200,
     model = C.RandomForestClassifier(numTrees=trees, seed=SEED, labelCol="__y").fit(y)
     pairs = sorted(zip(columns, model.featureImportances.toArray().tolist()), key=lambda p: (-p[1], p[0]))[:top]
     return df.sparkSession.createDataFrame([(i + 1, c, v) for i, (c, v) in enumerate(pairs)], "rank int, feature string, importance double")
-
-
-__all__ = ["Pipeline", "array_to_vector", "vector_to_array"]

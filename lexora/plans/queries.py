@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lexora.functions import text as T
 from lexora.operators import annotations as A
+from lexora.operators import experiments as E
 from lexora.operators import features as D
 from lexora.operators import learning as L
 from lexora.operators import profiling as P
@@ -602,23 +603,23 @@ _FOLD = "(row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || '-42'), do
 
 @register("stratified_folds", f"SELECT doc_id, lang, {_FOLD} AS fold FROM documents")
 def _(s, d):
-    return docs(s, d).select("doc_id", "lang").withColumn("fold", L.stratified_fold(F.col("doc_id"), "lang"))
+    return docs(s, d).select("doc_id", "lang").transform(L.with_fold, "doc_id", "lang")
 
 
 @register("holdout_split", "SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || '-42'), doc_id) <= ceil(0.2 * count(*) OVER (PARTITION BY lang)) AS held_out FROM documents")
 def _(s, d):
-    return docs(s, d).select("doc_id", "lang").withColumn("held_out", L.holdout(F.col("doc_id"), "lang")).drop("lang")
+    return docs(s, d).select("doc_id", "lang").transform(L.with_holdout, "doc_id", "lang").drop("lang")
 
 
 @register("fold_scaling", f"WITH f AS (SELECT doc_id, n_chars, {_FOLD} AS fold FROM documents), st AS (SELECT a.fold, avg(b.n_chars) AS m, stddev_pop(b.n_chars) AS sd FROM (SELECT DISTINCT fold FROM f) a JOIN f b ON a.fold <> b.fold GROUP BY a.fold) SELECT doc_id, fold, round((n_chars - m) / sd, 6) + 0.0 AS n_chars FROM f JOIN st USING (fold)")
 def _(s, d):
-    f = docs(s, d).select("doc_id", "lang", "n_chars").withColumn("fold", L.stratified_fold(F.col("doc_id"), "lang")).drop("lang")
+    f = docs(s, d).select("doc_id", "lang", "n_chars").transform(L.with_fold, "doc_id", "lang").drop("lang")
     return rounded(L.scale_by_training(f, ["n_chars"])).select("doc_id", "fold", "n_chars")
 
 
 @register("majority_baseline", f"WITH f AS (SELECT doc_id, lang, {_FOLD} AS fold FROM documents), c AS (SELECT a.fold, b.lang, count(*) AS c FROM (SELECT DISTINCT fold FROM f) a JOIN f b ON a.fold <> b.fold GROUP BY ALL) SELECT fold, lang AS majority FROM c QUALIFY row_number() OVER (PARTITION BY fold ORDER BY c DESC, lang) = 1")
 def _(s, d):
-    f = docs(s, d).select("doc_id", "lang").withColumn("fold", L.stratified_fold(F.col("doc_id"), "lang"))
+    f = docs(s, d).select("doc_id", "lang").transform(L.with_fold, "doc_id", "lang")
     # each row trains the four other folds
     train = f.withColumn("fold", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long")), lambda k: k != F.col("fold"))))
     return L.majority_label(train, "lang", "fold")
@@ -673,7 +674,7 @@ sc AS (SELECT te.doc_id, zz.lang, any_value(p) + sum(tf * (ln(coalesce(s, 0) + 1
 SELECT doc_id, lang AS predicted FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(sc, 9) DESC, lang DESC) = 1""")
 def _(s, d):
     counts, vocab, _w = _tfidf(s, d, 1, 5000)
-    h = docs(s, d).select("doc_id", "lang").withColumn("held", L.holdout(F.col("doc_id"), "lang"))
+    h = docs(s, d).select("doc_id", "lang").transform(L.with_holdout, "doc_id", "lang", name="held")
     t = counts.join(vocab.select("term"), "term").join(h, "doc_id").select("doc_id", "lang", "held", "term", F.col("tf").cast("double").alias("weight"))
     return L.naive_bayes(t.where("not held"), t.where("held"), "doc_id", "lang")
 
@@ -695,58 +696,22 @@ def _(s, d):
 GRID = ["word_count", "lexical_diversity", "avg_word_length", "punctuation_ratio", "repeated_words_ratio", "most_common_word_ratio"]
 
 
-def _grid_data(s, d):
-    from lexora.sources.tables import write_and_read
-
-    f = write_and_read(features(s, d, GRID).where("lang is not null"), "grid").withColumn("fold", L.stratified_fold(F.col("doc_id"), "lang", 3))
-    return L.scale_by_training(f, GRID)
-
-
 @register("grid_numeric")
 def _(s, d):
-    f = L.with_vector(_grid_data(s, d), GRID).select("doc_id", "lang", "fold", "features")
-    out = None
-    for name, model in L.numeric_models(f.count(), trees=10, stages=3).items():
-        row = L.summary_row(L.cross_validate(f, model, "lang", "doc_id", 3), "lang", "basic", name, len(GRID))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-def _text_data(s, d, size: int = 500):
-    """For each fold, all labelled documents as vectors, with vocabulary and idf
-    of the other folds; empty where a document has none of the terms."""
-    from lexora.sources.tables import write_and_read
-
-    c = docs(s, d).where("lang is not null")
-    keys = write_and_read(c.select("doc_id", "lang").withColumn("fold", L.stratified_fold(F.col("doc_id"), "lang", 3)), "folds")
-    counts = write_and_read(L.term_counts(c.select("doc_id", "text"), ["doc_id"], "text"), "counts")
-    out = []
-    for k in range(3):
-        train = keys.where(F.col("fold") != k)
-        vocab = write_and_read(L.vocabulary(counts.join(train.select("doc_id"), "doc_id", "left_semi"), train.count(), size), "vocab")
-        out.append(L.text_vectors(L.tfidf(counts, vocab, ["doc_id"]), vocab, ["doc_id"], size, keys))
-    return out
+    quick = E.Settings(folds=3, trees=10, stages=3, groups=("all_numeric",), models=("Logistic Regression", "Linear SVM", "Random Forest", "Gradient Boosting"))
+    return E.numeric_grid(_experiment_rows(s, d, GRID), GRID, "lang", "doc_id", quick)
 
 
 @register("grid_text")
 def _(s, d):
-    f = _text_data(s, d)
-    n = f[0].count()
-    models = {"Multinomial NB": L.C.NaiveBayes(smoothing=1.0), "Logistic Regression": L.numeric_models(n)["Logistic Regression"], "Linear SVM": L.numeric_models(n)["Linear SVM"]}
-    out = None
-    for name, model in models.items():
-        row = L.summary_row(L.cross_validate(f, model, "lang", "doc_id", 3), "lang", "tfidf_unigram", name, 500)
-        out = row if out is None else out.unionByName(row)
-    return out
+    rows = _experiment_rows(s, d, GRID[:1]).select("doc_id", "lang", "fold")
+    return E.text_grid(docs(s, d), rows, "lang", "doc_id", QUICK)
 
 
 @register("grid_combined")
 def _(s, d):
-    num = L.with_vector(_grid_data(s, d), GRID, "num").select("doc_id", "num")
-    both = L.VectorAssembler(inputCols=["num", "txt"], outputCol="features")
-    f = [both.transform(x.withColumnRenamed("features", "txt").join(num, "doc_id")).select("doc_id", "lang", "fold", "features") for x in _text_data(s, d)]
-    model = L.numeric_models(f[0].count())["Logistic Regression"]
-    return L.summary_row(L.cross_validate(f, model, "lang", "doc_id", 3), "lang", "combined", "Logistic Regression", 500 + len(GRID))
+    quick = E.Settings(folds=3, terms=500, ngrams=(1,), models=("Logistic Regression",))
+    return E.combined_grid(_experiment_rows(s, d, GRID), docs(s, d), GRID, "lang", "doc_id", quick)
 
 
 @register("rf_importance")
@@ -766,3 +731,47 @@ def _(s, d):
     _docs, terms = L.nmf(w, "doc_id", 4, 2)
     each = terms.select("term", F.posexplode("h").alias("topic", "weight"))
     return R.top_per_group(each, ["topic"], [F.desc("weight"), "term"], 15).select("topic", "rank", "term", "weight")
+
+
+# ---- the experiment grid; see experiments.Settings for the full one
+
+QUICK = E.Settings(folds=3, trees=10, stages=3, terms=500, ngrams=(1,))
+
+
+def _experiment_rows(s, d, columns):
+    from lexora.sources.tables import write_and_read
+
+    return write_and_read(features(s, d, columns).where("lang is not null").transform(L.with_fold, "doc_id", "lang", 3), "experiment")
+
+
+_FOLD3 = _FOLD.replace("% 5", "% 3")
+
+
+@register("grid_baselines", f"""WITH f AS (SELECT doc_id, lang, {_FOLD3} AS fold FROM documents WHERE lang IS NOT NULL),
+m AS (SELECT a.fold, b.lang, count(*) AS c FROM (SELECT DISTINCT fold FROM f) a JOIN f b ON a.fold <> b.fold GROUP BY ALL), mj AS (SELECT fold, lang AS predicted FROM m QUALIFY row_number() OVER (PARTITION BY fold ORDER BY c DESC, lang) = 1),
+p AS (SELECT fold, sum((lang = predicted)::INT) / count(*) AS acc, 2.0 * sum((lang = predicted)::INT) / (count(*) + sum((lang = predicted)::INT)) / count(DISTINCT lang) AS f1 FROM f JOIN mj USING (fold) GROUP BY fold)
+SELECT g.g AS feature_group, 'Majority Baseline' AS model, round(avg(acc), 6) AS accuracy, round(stddev_pop(acc), 6) AS acc_std, round(avg(f1), 6) AS macro_f1, round(stddev_pop(f1), 6) AS f1_std, g.n::BIGINT AS n_features FROM p, (VALUES ('basic_surface', 2), ('all_numeric', 3), ('reduced_non_redundant', 2), ('punctuation_formatting', 1)) AS g(g, n) GROUP BY g.g, g.n""")
+def _(s, d):
+    columns = ["word_count", "char_count", "punctuation_ratio"]
+    quick = E.Settings(folds=3, models=("Majority Baseline",))
+    return rounded(E.numeric_grid(_experiment_rows(s, d, columns), columns, "lang", "doc_id", quick))
+
+
+@register("run_comparison", "WITH n AS (SELECT doc_id, lang AS feature_group, source AS model, n_chars % 97 / 97.0::DOUBLE AS accuracy, n_chars % 89 / 89.0::DOUBLE AS macro_f1 FROM documents QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) = 1), o AS (SELECT feature_group, model, 1 - accuracy AS oa, 1 - macro_f1 AS om FROM n WHERE doc_id % 3 > 0) SELECT feature_group, model, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, round(oa, 6) AS old_accuracy, round(om, 6) AS old_macro_f1, round(accuracy - oa, 6) AS accuracy_change, round(macro_f1 - om, 6) AS f1_change, row_number() OVER (ORDER BY accuracy DESC, macro_f1 DESC, feature_group DESC, model DESC) = 1 AS is_best FROM n LEFT JOIN o USING (feature_group, model)")
+def _(s, d):
+    first = R.keep_first(docs(s, d), ["lang", "source"], ["doc_id"])
+    new = first.select("doc_id", F.col("lang").alias("feature_group"), F.col("source").alias("model"), (F.col("n_chars") % 97 / 97.0).alias("accuracy"), (F.col("n_chars") % 89 / 89.0).alias("macro_f1"))
+    old = new.where("doc_id % 3 > 0").withColumns({"accuracy": 1 - F.col("accuracy"), "macro_f1": 1 - F.col("macro_f1")})
+    return rounded(E.compare(new.drop("doc_id"), old))
+
+
+@register("grid_select_sweep")
+def _(s, d):
+    return E.select_sweep(_experiment_rows(s, d, GRID), GRID, "lang", "doc_id", [2, 4], QUICK)
+
+
+@register("grid_tuned")
+def _(s, d):
+    rows = _experiment_rows(s, d, GRID)
+    numeric = E.tuned_numeric(rows, GRID, "lang", "doc_id", [{"stages": 2, "step": 0.1, "depth": 3}], QUICK)
+    return numeric.unionByName(E.tuned_text(docs(s, d), rows.select("doc_id", "lang", "fold"), "lang", "doc_id", [{"C": c, "ngram": 1, "terms": 300} for c in (1, 5)], QUICK))

@@ -1,5 +1,6 @@
 """Hand-made inputs with hand-derived results, and every SQL pair on sf0.001."""
 
+import json
 import os
 
 import duckdb
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from lexora import lexicons
 from lexora.functions import text as T
 from lexora.operators import annotations as A
+from lexora.operators import experiments as E
 from lexora.operators import features as D
 from lexora.operators import learning as L
 from lexora.operators import profiling as P
@@ -107,7 +109,12 @@ def test_sources_and_sinks(spark, tmp_path):
     df = spark.createDataFrame([("m", 0.5), ("n", 0.7)], "model string, Accuracy double")
     S.write_csv(df, str(tmp_path / "r"))
     assert S.old_best(spark, str(tmp_path / "r")).first().model == "n" and S.old_best(spark, str(tmp_path / "none")) is None
-    S.write_json(df, str(tmp_path / "j"))
+    assert S.read_feature_table(spark, str(tmp_path / "r")).columns == ["model", "Accuracy"]
+    S.write_json(spark, {"שם": df, "rows": df.agg(F.count("*").alias("n")), "list": [1]}, str(tmp_path / "j"))
+    said = "\n".join(r.value for r in spark.read.text(str(tmp_path / "j"), wholetext=True).collect())
+    assert json.loads(said) == {"שם": [{"model": "m", "Accuracy": 0.5}, {"model": "n", "Accuracy": 0.7}], "rows": 2, "list": [1]} and "שם" in said and '\n  "rows": 2' in said
+    plot = S.plot_rows(spark.createDataFrame([("a", "x", 1.0), ("b", "x", 2.0), ("c", "x", 3.0)], "feature string, cohort string, mean double"), ["c", "a"])
+    assert [r.feature for r in plot.collect()] == ["c", "a"]
     parts = R.cohort_text_lines(spark.createDataFrame([("x", 1, "au", "b")], "c string, t int, a string, b string"), "c", "t", "a", "b", ["t"])
     S.write_cohort_texts(parts, "c", str(tmp_path / "t"))
     assert "### 1 / au" in [r.value for r in spark.read.text(str(tmp_path / "t")).collect()]
@@ -164,12 +171,66 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_text_folds_fit_their_own_terms_and_keep_all_documents(spark, tmp_path):
-    from lexora.plans import queries as Q
 
     rows = [(i, ("en", "fr")[i % 2], f"own{i} shared") for i in range(18)] + [(18, "en", ""), (19, "fr", None)]
     spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    for k, f in enumerate(Q._text_data(spark, str(tmp_path))):
+    found = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    keys = found.select("doc_id", "lang").transform(L.with_fold, "doc_id", "lang", 3)
+    for k, f in enumerate(E.text_frames(found, keys, 1, E.Settings(folds=3, terms=500))):
         got = {r.doc_id: r for r in f.collect()}
         assert sorted(got) == list(range(20))
         for i, r in got.items():  # a held-out document's own term is not known
             assert r.features.numNonzeros() == (0 if i >= 18 else 1 if r.fold == k else 2)
+
+
+def plain_parser(lines):
+    """The parser as a loop: (song, is kept) for each line of a file."""
+    import re
+
+    song, armed, rows, open_ = 0, False, 0, False
+    out = []
+    for line in lines:
+        s = line.strip()
+        title, again = re.match(r"^#\s*text\s*=\s*###\s*(.+?)\s*$", s), re.match(r"^#\s*text\s*=\s*/\s*(.+?)\s*$", s)
+        kept = False
+        if title:
+            song, armed, rows, open_ = song + 1, "/" not in title[1], 0, False
+        elif again and song and armed:
+            armed, rows, open_ = False, 0, False
+        elif line.startswith("#"):
+            pass
+        elif not s:
+            open_ = open_ or rows > 0
+        else:
+            rows += 1
+            kept = song > 0 and open_ and re.fullmatch("[0-9]+", line.split("\t")[0].strip()) is not None
+        out.append((song, kept))
+    return out
+
+
+@pytest.mark.parametrize("size", [100_000, 7])
+def test_parser_states_by_a_loop(spark, size, monkeypatch):
+    import random
+
+    monkeypatch.setattr(A, "RANGE", size)
+    rnd = random.Random(4)
+    kinds = ["# text = ### T", "# text = ### T / A", "# text = / B", "#text=###U", "# text = ###", "# note", "", "  ", "1\tw\tw\tNOUN\t_\tGender=Masc", "2\tv\tv\tVERB", "3-4\tx", "5.1\ty", "q\tz", "text ### T"]
+    files = {f: [rnd.choice(kinds) for _ in range(120)] for f in ("a", "b", "c")}
+    rows = [(f, i + 1, x) for f, xs in files.items() for i, x in enumerate(xs)]
+    got = {(r.file, r.ln): (r.song, r.kind == "processed_token_rows") for r in A.classify_lines(spark.createDataFrame(rows, "file string, ln long, line string")).collect()}
+    assert got == {(f, i + 1): v for f, xs in files.items() for i, v in enumerate(plain_parser(xs))}
+
+
+def test_experiment_parts(spark):
+    rows = [(i, "xy"[i % 2], float(i % 2) + (i % 5) / 10, 0.0, None if i % 7 == 0 else float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, word_count double, char_count double, digit_count double")
+    df = L.with_fold(df, "doc_id", "lang", 3)
+    columns = ["word_count", "char_count", "digit_count"]
+    assert E.usable_columns(df, columns) == ["word_count", "digit_count"]
+    assert E.feature_groups(columns)["reduced_non_redundant"] == ["word_count", "digit_count"] and "dicta_pos" not in E.feature_groups(columns)
+    frames = E.scaled_frames(df, ["word_count"], 3, "v")
+    train = [r.word_count for r in frames[1].where("fold <> 1").collect()]
+    assert abs(sum(train)) < 1e-9 and abs(sum(x * x for x in train) / len(train) - 1) < 1e-9
+    grid = E.numeric_grid(df, columns, "lang", "doc_id", E.Settings(folds=3, groups=("basic_surface",), models=("Majority Baseline", "Stratified Random Baseline", "Logistic Regression"))).collect()
+    assert {(r.model, r.n_features) for r in grid} == {(m, 1) for m in ("Majority Baseline", "Stratified Random Baseline", "Logistic Regression")}
+    assert next(r.accuracy for r in grid if r.model == "Logistic Regression") == 1.0
