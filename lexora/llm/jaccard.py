@@ -9,8 +9,10 @@ moved to its end, so a common passage does not gather unrelated documents. Their
 counts leave out what a batch of documents holds once; any order of shingles
 gives the same result, so this costs no links.
 
-Prefix shingles travel packed, dealt by hash; the ``HOT`` ones as rows, so that
-they are combined map-side and their join may be split. Where ``FEW`` classes or
+Prefix shingles travel packed, dealt by hash, and are shuffled without being
+written first; of a shingle ``TOKEN_BITS`` bits go beside its bucket, so unlike
+shingles may meet, which can add candidates and takes none away. The ``HOT`` ones
+come out as rows, so that they are combined map-side and their join may be split. Where ``FEW`` classes or
 fewer hold a shingle, their pairs count what they share; similar sets of n and m
 share at least (4/9)(n + m) - (n - prefix) of the prefixes, so pairs with less
 go, the others form a group about the smaller class. All classes that hold a more
@@ -54,6 +56,7 @@ WORDS, NUM, DEN = 5, 4, 5  # shingle width; similarity NUM/DEN
 HOT, HOT_AT_LEAST = 1 << 16, 200
 CHUNK_TOKENS, CHUNK_ROWS = 4_000_000, 2000
 LEAF, FEW = 8, 4
+TOKEN_BITS = 32  # of a prefix shingle, beside its bucket
 GROUP_BYTES = 8_000_000  # of texts whose words are hashed together
 #: Rows of a few numbers that may be broadcast, some 100 MB as a hash table;
 #: beyond that the join shuffles.
@@ -281,7 +284,7 @@ def _shared(a: str, b: str) -> Column:
     return NUM * (n + m) - (NUM + DEN) * (n - size)
 
 
-def class_links(src: DataFrame, facts: DataFrame, classes: DataFrame, hot_limit: int = HOT_AT_LEAST, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def class_links(src: DataFrame, facts: DataFrame, classes: DataFrame, hot_limit: int = HOT_AT_LEAST, chunk_rows: int = CHUNK_ROWS, token_bits: int = TOKEN_BITS) -> DataFrame:
     """Links ``(a, b)`` that connect the classes ``(cls, rep, bits)`` of the
     documents ``src(row, text)``; ``facts`` has the counts of shingles."""
 
@@ -308,50 +311,61 @@ def class_links(src: DataFrame, facts: DataFrame, classes: DataFrame, hot_limit:
                 cls = np.repeat(np.array([k for k, _ in sets], np.int64), size)
                 n = np.repeat(np.array([len(s) for _, s in sets], np.int32), size)
                 place = (token % np.uint64(buckets)).astype(np.int64)
-                if len(hot):
-                    place[hot[np.minimum(np.searchsorted(hot, token), len(hot) - 1)] == token] = -1
+                short = ((token // np.uint64(buckets)) & np.uint64((1 << token_bits) - 1)).astype(np.uint32)
+                if len(hot):  # these go by their number, a cell for the batch
+                    at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
+                    late = hot[at] == token
+                    place[late], short[late] = -1 - int(cls[0] % buckets) if len(cls) else -1, at[late]
                 order = np.argsort(place, kind="stable")
-                token, cls, n, place = token[order].view(np.int64), cls[order], n[order], place[order]
+                short, cls, n, place = short[order], cls[order], n[order], place[order]
                 cut = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else place
                 ends = np.append(cut[1:], len(place))
-                data = [token[x:y].tobytes() + cls[x:y].tobytes() + n[x:y].tobytes() for x, y in zip(cut, ends)]
+                data = [packed(short[x:y], cls[x:y], n[x:y]) for x, y in zip(cut, ends)]
                 yield pa.RecordBatch.from_arrays([pa.array(place[cut], pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
         finally:
             release()
 
+    def packed(token: np.ndarray, cls: np.ndarray, n: np.ndarray) -> bytes:
+        # sizes byte by byte: the upper bytes are nearly all zero
+        return token.tobytes() + cls.tobytes() + n.view(np.uint8).reshape(-1, 4).T.tobytes()
+
     def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        k = len(data) // 20
-        return np.frombuffer(data, np.int64, k), np.frombuffer(data, np.int64, k, 8 * k), np.frombuffer(data, np.int32, k, 16 * k)
+        k = len(data) // 16
+        n = np.frombuffer(data, np.uint8, 4 * k, 12 * k).reshape(4, k).T
+        return np.frombuffer(data, np.uint32, k).astype(np.int64), np.frombuffer(data, np.int64, k, 4 * k), np.ascontiguousarray(n).view(np.int32)[:, 0].astype(np.int64)
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["a", "b", "na", "nb", "o"]
         for g in sorted_groups(batches, ["bucket"]):
-            token, cls, n = map(np.concatenate, zip(*map(unpacked, g["data"])))
-            order = np.lexsort((cls, token))
-            token, cls, n = token[order], cls[order], n[order].astype(np.int64)
-            once = np.concatenate([[True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])])
+            cells = list(map(unpacked, g["data"]))
+            token, cls, n = map(np.concatenate, zip(*cells))
+            if g["bucket"].iloc[0] < 0:
+                yield pd.DataFrame(dict(zip(columns, (token, cls, n, n, np.full(len(n), -1)))))
+                continue
+            cell = np.repeat(np.arange(len(cells)), [len(c[0]) for c in cells])
+            order = np.lexsort((cell, cls, token))
+            token, cls, n, cell = token[order], cls[order], n[order], cell[order]
+            # a class has the same shingles in all cells: those of its first
+            # stay, and if two of them look alike, both do
+            head = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])]))
+            once = cell == np.repeat(cell[head], np.diff(np.append(head, len(cell))))
             token, cls, n = token[once], cls[once], n[once]
             first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             size = np.diff(np.append(first, len(token)))
             few = np.repeat(size <= FEW, size)
             parts = []
             for step in range(1, FEW):
-                x = np.flatnonzero((token[step:] == token[:-step]) & few[step:])
+                x = np.flatnonzero((token[step:] == token[:-step]) & few[step:] & (cls[step:] != cls[:-step]))
                 y = x + step
                 near = (DEN * n[x] >= NUM * n[y]) & (DEN * n[y] >= NUM * n[x])
                 parts.append(np.stack([cls[x[near]], cls[y[near]], n[x[near]], n[y[near]], np.ones(int(near.sum()), np.int64)]))
             pivot, head = np.repeat(cls[first], size), np.repeat(n[first], size)
             many = np.repeat(size > FEW, size)
             parts.append(np.stack([pivot[many], cls[many], head[many], n[many], np.zeros(int(many.sum()), np.int64)]))
-            yield pd.DataFrame(np.concatenate(parts, axis=1).T, columns=["a", "b", "na", "nb", "o"]).groupby(["a", "b", "na", "nb"], as_index=False)["o"].sum()
-
-    def hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for data in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, unpacked(data))), ["token", "cls", "n"])
+            yield pd.DataFrame(np.concatenate(parts, axis=1).T, columns=columns).groupby(columns[:4], as_index=False)["o"].sum()
 
-    post = persist_table(src.select("text").mapInArrow(postings, "bucket int, data binary"), "postings")
-    cold = post.where("bucket >= 0").repartition(width, "bucket").sortWithinPartitions("bucket")
-    met = persist_table(cold.mapInPandas(meet, "a long, b long, na long, nb long, o long"), "met")
+    dealt_out = src.select("text").mapInArrow(postings, "bucket int, data binary").repartition(width, "bucket").sortWithinPartitions("bucket")
+    met = persist_table(dealt_out.mapInPandas(meet, "a long, b long, na long, nb long, o long"), "met")
     # with few classes to a shingle, pairs are counted: two similar sets share
     # so many of their prefixes that this leaves few others
     pairs = met.where("o > 0").groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o")).where((NUM + DEN) * F.col("o") >= F.least(_shared("na", "nb"), _shared("nb", "na")))
@@ -360,13 +374,12 @@ def class_links(src: DataFrame, facts: DataFrame, classes: DataFrame, hot_limit:
     # shingles of more classes gather a group about their smallest class; of
     # the hot ones, which any number of classes may hold, by map-side counts
     joined = joined.union(met.where("o = 0").select("a", "b", "nb"))
-    warm = post.where("bucket < 0").select("data").mapInArrow(hot_rows, "token long, cls long, n int")
+    warm = met.where("o < 0").select(F.col("a").alias("token"), F.col("b").alias("cls"), F.col("na").alias("n"))
     shared = warm.groupBy("token").agg(F.min("cls").alias("pivot"), F.max("cls").alias("other")).where("pivot < other").select("token", "pivot")
     joined = joined.union(warm.join(shared, "token").select("pivot", "cls", "n"))
     grouped = persist_table(joined.groupBy("pivot", "cls").agg(F.first("n").alias("n")), "grouped")
     members = persist_table(classes.join(few(grouped), "cls").select("pivot", "rep", "n", "bits", (F.col("cls") == F.col("pivot")).alias("is_pivot")), "members")
     drop_tables(met, pairs, grouped)
-    drop_tables(post)
     groups = members.groupBy("pivot").agg(F.greatest(F.ceil(F.sum("n") / CHUNK_TOKENS), F.ceil(F.count("*") / chunk_rows)).cast("int").alias("chunks"))
     dealt = members.join(groups, "pivot").withColumn("chunk", F.pmod(F.xxhash64("rep", "pivot"), F.col("chunks")).cast("int"))
 

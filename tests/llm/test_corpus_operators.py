@@ -2,8 +2,10 @@
 nearest neighbours, sharding, mixing, and the pipeline."""
 
 import hashlib
+import os
 import random
 from collections import Counter, defaultdict
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -118,6 +120,36 @@ def test_jaccard_components(spark, chunk):
     assert [got[i] for i in range(len(texts))] == plain_components(texts)
 
 
+@pytest.mark.parametrize("bits", [0, 3])
+def test_jaccard_of_shingles_that_look_alike(spark, bits):
+    rnd = random.Random(bits)
+    texts = []
+    for _ in range(30):
+        base = [f"w{rnd.randrange(300)}" for _ in range(rnd.randint(5, 90))]
+        for _ in range(rnd.choice([1, 2, 2, 9])):
+            words = list(base)
+            for _ in range(rnd.randint(0, 3)):
+                words[rnd.randrange(len(words))] = f"w{rnd.randrange(300)}"
+            texts += [" ".join(words)] * rnd.choice([1, 1, 2])  # copies of a class in several batches
+    rnd.shuffle(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs_of(spark, texts), hot_limit=3, token_bits=bits).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_components(texts)
+
+
+def test_jaccard_writes_less_than_its_input(spark, monkeypatch):
+    size = {}
+
+    def persist(df, what, keep=jaccard.persist_table):
+        out = keep(df, what)
+        size[what] = size.get(what, 0) + sum(os.path.getsize(urlparse(f).path) for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(jaccard, "persist_table", persist)
+    jaccard.near_duplicates(table(spark, SF, "documents")).count()
+    own = size.pop("rows")
+    assert sum(size.values()) < 0.75 * own, size
+
+
 def test_jaccard_of_the_query(spark):
     rows = table(spark, SF, "documents").orderBy("doc_id").collect()
     want = plain_components([r.text for r in rows])
