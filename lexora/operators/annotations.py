@@ -4,7 +4,8 @@ song and tables per cohort.
 ``lines(file, ln, line)`` holds numbered lines. The parser's states are reset at
 each title, so only the number of titles so far needs the whole file: titles are
 counted per ``RANGE`` lines, and the rest are running counts within a song, over
-one sort that they share. A file is thus read by many tasks.
+one sort that they share. A file is thus read by many tasks. Where songs arrive
+whole, ``blocks`` parses them without a shuffle.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ POS = ["NOUN", "VERB", "ADJ", "ADV", "PRON", "PROPN", "ADP", "DET", "CCONJ", "SC
 BINYAN = {"paal": "PAAL", "piel": "PIEL", "hifil": "HIFIL", "hitpael": "HITPAEL", "nifal": "NIFAL", "pual": "PUAL", "hufal": "HUFAL"}
 TENSE = {"tense_past": ("Tense", "Past"), "tense_present": ("Tense", "Pres"), "tense_future": ("Tense", "Fut"), "verb_inf": ("VerbForm", "Inf"), "verb_participle": ("VerbForm", "Part"), "imperative": ("Mood", "Imp")}
 NOMINAL = {"masculine": ("Gender", "Masc"), "feminine": ("Gender", "Fem"), "singular": ("Number", "Sing"), "plural": ("Number", "Plur"), "first_person_morph": ("Person", "1"), "second_person_morph": ("Person", "2"), "third_person_morph": ("Person", "3")}
+#: Counted features by what their ratio is to: tokens but punctuation, verbs.
+OVER_NP = [*[f"pos_{p.lower()}" for p in POS], *NOMINAL, "dicta_unknown_token", "dicta_x_pos"]
+OVER_VL = [*TENSE, *[f"binyan_{k}" for k in BINYAN]]
+NO_TOKEN = ["PUNCT", "X", "_"]
 SUMMARY_POS = [*POS, "PART"]
 SELECTED = ["Person=1", "Person=2", "Person=3", "Tense=Past", "Tense=Pres", "Tense=Fut", "Number=Sing", "Number=Plur", "Number=Dual", "Gender=Masc", "Gender=Fem", "Voice=Act", "Voice=Mid", "Voice=Pass", "VerbForm=Inf", "VerbForm=Part", "Mood=Imp"]
 COUNTERS = ["song_title_lines", "artist_continuation_lines", "token_rows_before_first_song", "title_sentence_token_rows_skipped", "multi_token_rows_skipped", "decimal_token_rows_skipped", "non_integer_token_rows_skipped", "short_token_rows", "processed_token_rows", "songs_parsed"]
@@ -138,9 +143,13 @@ def song_features(toks: DataFrame, by: list[str]) -> DataFrame:
     g = d.groupBy(*by).agg(*[c.cast("long").alias(k) for k, c in aggs.items()])
     r = d.where("size(__roots) > 0").select(*by, F.explode("__roots").alias("root")).withColumn("root", match_key(F.col("root"))).where("root <> ''")
     r = r.groupBy(*by).agg(F.count("*").alias("root_count"), F.count_distinct("root").alias("unique_root_count"))
-    g = g.join(r, by, "left").fillna(0, ["root_count", "unique_root_count"])
-    ratio = {f"{k}_ratio": safe_divide(F.col(f"{k}_count"), F.col("dicta_non_punct_token_count")) for k in over_np}
-    ratio |= {f"{k}_ratio": safe_divide(F.col(f"{k}_count"), F.col("__vl")) for k in over_vl}
+    return with_ratios(g.join(r, by, "left").fillna(0, ["root_count", "unique_root_count"]))
+
+
+def with_ratios(g: DataFrame) -> DataFrame:
+    """Ratios and diversities beside a song's counts; ``__vl`` goes."""
+    ratio = {f"{k}_ratio": safe_divide(F.col(f"{k}_count"), F.col("dicta_non_punct_token_count")) for k in OVER_NP}
+    ratio |= {f"{k}_ratio": safe_divide(F.col(f"{k}_count"), F.col("__vl")) for k in OVER_VL}
     ratio |= {"lemma_diversity": safe_divide(F.col("unique_lemma_count"), F.col("lemma_count")), "root_diversity": safe_divide(F.col("unique_root_count"), F.col("root_count"))}
     return g.withColumns(ratio).drop("__vl")
 
@@ -150,33 +159,38 @@ def song_features(toks: DataFrame, by: list[str]) -> DataFrame:
 
 def cohort_tokens(lines: DataFrame, cohort: Column) -> DataFrame:
     d = once(lines.where(~F.col("line").startswith("#")).select(cohort.alias("cohort"), "line"), f=F.split(_strip(F.col("line")), "\t")).where(F.size("f") >= 4)
-    d = d.where(~F.col("f")[0].contains("-") & ~F.col("f")[0].contains(".") & ~F.col("f")[3].isin("PUNCT", "X", "_"))
+    d = d.where(~F.col("f")[0].contains("-") & ~F.col("f")[0].contains(".") & ~F.col("f")[3].isin(*NO_TOKEN))
     return d.select("cohort", F.col("f")[1].alias("form"), F.col("f")[2].alias("lemma"), F.col("f")[3].alias("upos"), F.coalesce(F.get("f", F.lit(5)), F.lit("_")).alias("raw"))
 
 
 def cohort_feats(toks: DataFrame) -> DataFrame:
-    """One row per feature string of each token."""
-    return toks.where("raw not in ('', '_')").select("cohort", F.explode(F.split("raw", "[|]")).alias("feat")).where(F.col("feat").contains("="))
+    """One row per feature string of each token, or of ``n`` equal ones."""
+    return toks.where("raw not in ('', '_')").select(*[c for c in toks.columns if c in ("cohort", "n")], F.explode(F.split("raw", "[|]")).alias("feat")).where(F.col("feat").contains("="))
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    """A row may stand for ``n`` equal ones."""
+    return df if "n" in df.columns else df.withColumn("n", F.lit(1).cast("long"))
 
 
 def shares(df: DataFrame, key: str) -> DataFrame:
     """(cohort, key, count, ratio to the cohort's total)."""
-    c = df.groupBy("cohort", key).agg(F.count("*").alias("count"))
+    c = _counted(df).groupBy("cohort", key).agg(F.sum("n").alias("count"))
     return c.withColumn("ratio", F.col("count") / F.sum("count").over(Window.partitionBy("cohort")))
 
 
 def wide_shares(df: DataFrame, key: str, values: list[str]) -> DataFrame:
     """Counts and ratios of fixed values side by side; the ratio is to all rows
     of the cohort."""
-    one = [F.count_if(F.col(key) == v).alias(f"{v}_count") for v in values]
-    g = df.groupBy("cohort").agg(F.count("*").alias("__n"), *one)
+    one = [F.coalesce(F.sum(F.when(F.col(key) == v, F.col("n"))), F.lit(0)).cast("long").alias(f"{v}_count") for v in values]
+    g = _counted(df).groupBy("cohort").agg(F.sum("n").alias("__n"), *one)
     return g.select("cohort", *[c for v in values for c in (F.col(f"{v}_count"), safe_divide(F.col(f"{v}_count"), F.col("__n")).alias(f"{v}_ratio"))])
 
 
 def top_values(df: DataFrame, key: str, k: int, pool: int | None = None, stop: list[str] | None = None) -> DataFrame:
     """Most frequent values of a cohort with rank; with ``pool`` the stop words
     and one-letter values go after the ``pool`` most frequent were taken."""
-    c = df.groupBy("cohort", key).agg(F.count("*").alias("count"))
+    c = _counted(df).groupBy("cohort", key).agg(F.sum("n").alias("count"))
     w = Window.partitionBy("cohort").orderBy(F.desc("count"), key)
     if pool:
         c = c.withColumn("r", F.row_number().over(w)).where(F.col("r") <= pool).drop("r").where((F.length(key) > 1) & ~F.col(key).isin(*(stop or [""])))
